@@ -32,5 +32,5 @@ def salted_join(
 def lookup_values(values: dict[str, str], key: Column, default: str | None = None) -> Column:
     """Look a key up in a fixed table of a few entries, as one literal map."""
     pairs = [F.lit(part) for pair in values.items() for part in pair]
-    found = F.create_map(*pairs).getItem(key)
+    found = F.create_map(*pairs)[key]
     return found if default is None else F.coalesce(found, F.lit(default))

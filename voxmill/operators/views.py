@@ -87,51 +87,80 @@ def top_segments(
     )
 
 
-def kpi_cards(members: DataFrame, cohort: str = "all") -> DataFrame:
-    """Total reviews, themes and friction share of a run under a cohort filter.
+def _by_cohort(counts: DataFrame, keep: Sequence[str], cohorts: Sequence[str]) -> DataFrame:
+    """One column of counts per cohort to one row per cohort."""
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("cohort"), F.col(c).alias("reviews")) for c in cohorts]
+    )
+    return counts.select(*keep, F.inline(pairs))
+
+
+def kpi_cards(members: DataFrame, cohorts: Sequence[str] = ("all",)) -> DataFrame:
+    """Total reviews, themes and friction share of a run under each cohort filter.
 
-    The number of themes is not reduced by the filter.
+    All cohorts are counted in one pass.  The number of themes is not reduced by
+    the filter.
     """
     named = tx.contains_any(F.lower("theme_name"), lex.FRICTION_TERMS)
     themed = F.col("cluster_id") != NOISE
-    per_theme = members.groupBy(*_THEME).agg(F.count_if(ratings.in_cohort(cohort)).alias("n"))
-    totals = per_theme.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_reviews"),
-        F.count_if(themed).alias("themes"),
-        F.coalesce(F.sum(F.when(themed & named, F.col("n"))), F.lit(0)).alias("friction_reviews"),
+    counts = members.groupBy(*_THEME).agg(
+        *[F.count_if(ratings.in_cohort(c)).alias(c) for c in cohorts]
     )
-    return totals.select(
-        F.lit(cohort).alias("cohort"),
-        "total_reviews",
-        "themes",
-        _percent(F.col("friction_reviews"), F.col("total_reviews"))
-        .cast("bigint")
-        .alias("friction_pct"),
+    return (
+        _by_cohort(counts, _THEME, cohorts)
+        .groupBy("cohort")
+        .agg(
+            F.sum("reviews").alias("total_reviews"),
+            F.count_if(themed).alias("themes"),
+            F.sum(F.when(themed & named, F.col("reviews"))).alias("_friction"),
+        )
+        .select(
+            "cohort",
+            "total_reviews",
+            "themes",
+            _percent(F.coalesce("_friction", F.lit(0)), F.col("total_reviews"))
+            .cast("bigint")
+            .alias("friction_pct"),
+        )
     )
 
 
 def source_breakdown(
-    members: DataFrame, cohort: str = "all", sources: Sequence[str] = lex.SOURCES
+    members: DataFrame,
+    cohorts: Sequence[str] = ("all",),
+    sources: Sequence[str] = lex.SOURCES,
 ) -> DataFrame:
-    """Reviews of the known sources under a cohort filter, zeros included."""
-    kept = members.where(ratings.in_cohort(cohort))
-    counts = kept.agg(
-        *[F.count_if(F.col("source") == s).alias(s) for s in sources]
+    """Reviews of the known sources under each cohort filter, zeros included."""
+    counts = members.agg(
+        *[
+            F.count_if(ratings.in_cohort(c) & (F.col("source") == s)).alias(f"{c}/{s}")
+            for c in cohorts
+            for s in sources
+        ]
     )
-    pairs = F.array(
-        *[F.struct(F.lit(s).alias("source"), F.col(s).alias("reviews")) for s in sources]
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("cohort"), F.lit(s).alias("source"), F.col(f"{c}/{s}").alias("reviews")
+            )
+            for c in cohorts
+            for s in sources
+        ]
     )
-    return counts.select(F.inline(pairs))
+    return counts.select(F.inline(cells))
 
 
-def theme_distribution(members: DataFrame, cohort: str = "all") -> DataFrame:
-    """Themes without noise by size under a cohort filter, largest first."""
-    return (
+def theme_distribution(members: DataFrame, cohorts: Sequence[str] = ("all",)) -> DataFrame:
+    """Themes without noise by size under each cohort filter, largest first."""
+    counts = (
         members.where(F.col("cluster_id") != NOISE)
         .groupBy(*_THEME)
-        .agg(F.count_if(ratings.in_cohort(cohort)).alias("reviews"))
+        .agg(*[F.count_if(ratings.in_cohort(c)).alias(c) for c in cohorts])
+    )
+    return (
+        _by_cohort(counts, _THEME, cohorts)
         .withColumn("label", tx.short_label(F.col("theme_name")))
-        .orderBy(F.col("reviews").desc(), "cluster_id")
+        .orderBy("cohort", F.col("reviews").desc(), "cluster_id")
     )
 
 
