@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from voxmill.operators.components import components
 from voxmill.operators.joins import salted_join
-from voxmill.session import cut_lineage
+from voxmill.session import cut_lineage, ship_with_tasks
 
 BLOCK_ROWS = 2048
 _LEVELS_PER_STEP = 4
 _INFINITE = float("inf")
 _EDGE = "struct<w:double,lo:bigint,hi:bigint,other:bigint>"
 
+ship_with_tasks(__name__)
+
 
 def spanning_tree(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges ``(lo, hi, w)`` of the minimum spanning tree of ``(vid, x)``.

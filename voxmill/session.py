@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that results depend on; everything else is left to the cluster.
@@ -28,6 +30,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_with_tasks(module: str) -> None:
+    """Send a module's task functions along with the tasks.
+
+    The executors then need no copy of this package on their path.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
