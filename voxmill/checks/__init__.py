@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-_MODULES = ["cleaning", "sources", "themes", "views"]
+_MODULES = ["cleaning", "sources", "themes", "views", "vectors", "streams"]
 
 
 def all_checks() -> ModuleType:

@@ -122,17 +122,22 @@ def _regions(
     ranked = cut_lineage(ranked)
     for end, side, table in ends:
         ranked = ranked.join(table, end).withColumn(side, -F.col(end) - 1)
-    last, shortest = ranked.agg(F.max("rank"), F.min("w")).first()
-    edges = cut_lineage(
-        ranked.select(F.lit(last).cast("bigint").alias("piece"), "rank", "w", "a", "wa", "b", "wb")
-    )
-    edges = _cut_into_pieces(edges, piece_rows)
+    last, shortest, merges = ranked.agg(F.max("rank"), F.min("w"), F.count("*")).first()
+    whole = F.lit(last).cast("bigint")
+    edges = ranked.select(whole.alias("piece"), "rank", "w", "a", "wa", "b", "wb")
+    in_pieces = merges > piece_rows
+    if in_pieces:
+        edges = _cut_into_pieces(cut_lineage(edges), piece_rows)
 
     def hierarchy(rows: pd.DataFrame) -> pd.DataFrame:
         return _piece_hierarchy(rows, smallest, 1.0 / shortest)
 
-    parts = cut_lineage(edges.groupBy("piece").applyInPandas(hierarchy, _HIERARCHY))
-    return _fill_regions(parts, _piece_regions(parts, last))
+    parts = edges.groupBy("piece").applyInPandas(hierarchy, _HIERARCHY)
+    if not in_pieces:  # the top of the only piece is the root
+        return _fill_regions(parts.withColumn("top_region", whole))
+    parts = cut_lineage(parts)
+    tops = _piece_regions(parts, last)
+    return _fill_regions(salted_join(parts, tops, ["piece"], F.col("id")))
 
 
 def _cut_into_pieces(edges: DataFrame, piece_rows: int) -> DataFrame:
@@ -294,14 +299,12 @@ def _piece_regions(parts: DataFrame, last: int) -> DataFrame:
     return state.select("piece", F.col("region").alias("top_region"))
 
 
-def _fill_regions(parts: DataFrame, tops: DataFrame) -> DataFrame:
+def _fill_regions(parts: DataFrame) -> DataFrame:
     """Put in the regions that the pieces could not know."""
     above = F.when(F.col("is_top"), F.coalesce("parent_region", "top_region"))
-    return (
-        salted_join(parts, tops, ["piece"], F.col("id"))
-        .withColumns({"region": F.coalesce("region", "top_region"), "parent_region": above})
-        .drop("top_region")
-    )
+    return parts.withColumns(
+        {"region": F.coalesce("region", "top_region"), "parent_region": above}
+    ).drop("top_region")
 
 
 # --- clusters of the condensed tree -------------------------------------------

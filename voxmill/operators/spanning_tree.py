@@ -26,6 +26,7 @@ from voxmill.session import cut_lineage, ship_with_tasks
 BLOCK_ROWS = 2048
 _LEVELS_PER_STEP = 4
 _INFINITE = float("inf")
+_TREE = "lo bigint, hi bigint, w double"
 _EDGE = "struct<w:double,lo:bigint,hi:bigint,other:bigint>"
 
 ship_with_tasks(__name__)
@@ -37,14 +38,14 @@ def spanning_tree(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     ``x`` are distinct points of equal width, ``vid`` distinct whole numbers.
     Equal lengths are ordered by their end points.
     """
+    if points.limit(block_rows + 1).count() <= block_rows:  # one box holds all
+        return points.withColumn("box", F.lit(1)).groupBy("box").applyInPandas(
+            _box_tree, _TREE
+        )
     width = len(points.select("x").first()["x"])
     boxed = split_into_boxes(points, width, block_rows)
-    local = cut_lineage(
-        boxed.groupBy("box").applyInPandas(_box_tree, "lo bigint, hi bigint, w double")
-    )
+    local = cut_lineage(boxed.groupBy("box").applyInPandas(_box_tree, _TREE))
     depth = boxed.agg(F.max(_depth(F.col("box")))).first()[0]
-    if depth == 0:
-        return local
     return _join_boxes(boxed, local, width, depth)
 
 

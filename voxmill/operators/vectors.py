@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Normalizer
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxmill.functions import lexicons as lex
 from voxmill.functions.text import strip_space
+from voxmill.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 MAX_COMPONENTS = 5
 
@@ -30,10 +35,13 @@ def document_terms(docs: DataFrame, doc_id: str, text: str = "content") -> DataF
     """
     words = docs.select(
         F.col(doc_id).alias("doc_id"), F.sort_array(tokens(F.col(text))).alias("_w")
-    ).where(F.size("_w") > 0)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("_w") - 1),
-        lambda i: (i == 0) | (F.get("_w", i - 1) != F.get("_w", i)),
+    )
+    starts = F.when(
+        F.size("_w") > 0,
+        F.filter(
+            F.sequence(F.lit(0), F.size("_w") - 1),
+            lambda i: (i == 0) | (F.get("_w", i - 1) != F.get("_w", i)),
+        ),
     )
     counted = F.transform(
         "_s",
@@ -125,16 +133,38 @@ def reduce_dimensions(
     """Project onto the first principal components, ``point: array<double>``.
 
     At most ``rows - 1`` components; below two the vectors stay as they are.
-    The projection is not centred and its signs are free, so only distances
-    between points mean anything.  The covariance matrix (width squared, however
-    many rows) is summed over the tasks in a tree.
+    The signs of the axes are free, so only distances between points mean
+    anything.
+    """
+    axes = principal_axes(rows, vector, components)
+    dense = rows.withColumn("_dense", vector_to_array(vector))
+    if axes is None:
+        return dense.withColumnRenamed("_dense", point)
+
+    @F.pandas_udf("array<double>")
+    def project(vectors: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(vectors.to_numpy()) @ axes))
+
+    return dense.withColumn(point, project("_dense")).drop("_dense")
+
+
+def principal_axes(rows: DataFrame, vector: str, components: int) -> np.ndarray | None:
+    """Axes of largest variance as columns, or None if there are fewer than two.
+
+    The tasks sum up moments and products of the (sparse) vectors; the driver
+    sees one matrix of width squared, however many rows there are.
     """
-    enough = rows.select(vector).limit(components + 1).count()
-    usable = min(components, enough - 1)
+    summary = Summarizer.metrics("count", "variance").summary(F.col(vector))
+    count, variance = rows.agg(summary.alias("s")).select("s.count", "s.variance").first()
+    usable = min(components, count - 1)
     if usable < 2:
-        return rows.withColumn(point, vector_to_array(vector))
-    model = PCA(k=usable, inputCol=vector, outputCol="_pca").fit(rows)
-    return model.transform(rows).withColumn(point, vector_to_array("_pca")).drop("_pca")
+        return None
+    deviation = np.sqrt(np.maximum(variance.toArray(), 0.0))
+    correlation = Correlation.corr(rows.select(vector), vector).first()[0].toArray()
+    # A coordinate without variance has no correlation.
+    covariance = np.nan_to_num(correlation) * np.outer(deviation, deviation)
+    _, axes = np.linalg.eigh(covariance)
+    return np.ascontiguousarray(axes[:, ::-1][:, :usable])
 
 
 def centroids(rows: DataFrame, label: str, array: str) -> DataFrame:
