@@ -66,7 +66,7 @@ def clean_reviews(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT doc_id, {v.scrub_sql('text')} AS scrubbed FROM documents",
 )
 def scrub_pii(spark: SparkSession, sf: str) -> DataFrame:
-    docs = v.table(spark, sf, "documents")
+    docs = v.texts(spark, sf)
     return docs.select("doc_id", tx.scrub_pii(F.col("text")).alias("scrubbed"))
 
 
@@ -81,7 +81,7 @@ def _hits(step: int) -> str:
     f"SELECT source, {', '.join(_hits(i) for i in range(4))} FROM documents GROUP BY source",
 )
 def pii_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning.pii_audit(v.table(spark, sf, "documents"), "text", "source")
+    return cleaning.pii_audit(v.texts(spark, sf), "text", "source")
 
 
 ASCII_SQL = r"length(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))::DOUBLE / nullif(length(text), 0)"
@@ -94,7 +94,7 @@ ASCII_SQL = r"length(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))::DOUBLE / nu
 )
 def english_ratio(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
-    return v.table(spark, sf, "documents").select(
+    return v.texts(spark, sf).select(
         "doc_id",
         F.round(tx.ascii_share(text), 6).alias("ascii_share"),
         tx.is_likely_english(text).alias("is_english"),

@@ -56,7 +56,7 @@ def feed_pages(documents: DataFrame) -> DataFrame:
     FROM raw WHERE pos > 0 AND pos % 13 <> 5 AND pos % 17 <> 3""",
 )
 def flatten_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return feeds.label_feed_reviews(feed_pages(v.table(spark, sf, "documents")), v.now())
+    return feeds.label_feed_reviews(feed_pages(v.texts(spark, sf)), v.now())
 
 
 def posts(documents: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ posts AS (
     f"WITH {POSTS} SELECT review_id, author, title, content, 3 AS rating, date FROM posts",
 )
 def title_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    rows = feeds.forum_posts(posts(v.table(spark, sf, "documents")), v.now())
+    rows = feeds.forum_posts(posts(v.texts(spark, sf)), v.now())
     return rows.select("review_id", "author", "title", "content", "rating", "date")
 
 
@@ -119,7 +119,7 @@ def union_sources(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("pos") % 2 != 0, "8.0").alias("reviewCreatedVersion"),
         "feed_pos",
     )
-    forum = feeds.forum_posts(posts(v.table(spark, sf, "documents")), v.now())
+    forum = feeds.forum_posts(posts(v.texts(spark, sf)), v.now())
     columns = ["review_id", "source", "author", "content", "rating", "date", "app_version"]
     return feeds.union_sources(
         app.select(*columns), feeds.store_reviews(store_rows, v.now()), forum

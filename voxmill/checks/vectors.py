@@ -18,7 +18,7 @@ vocab AS (SELECT *, (row_number() OVER (ORDER BY term) - 1)::INT AS term_id FROM
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.document_terms(v.table(spark, sf, "documents"), "doc_id", "text")
+    return vectors.document_terms(v.texts(spark, sf), "doc_id", "text")
 
 
 @check("tfidf_vocab", f'WITH {DOC_TERMS} SELECT term, term_id, "count", docs FROM vocab')
@@ -53,7 +53,7 @@ def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
 def tfidf_vectors(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    rows = vectors.vectorize(v.table(spark, sf, "documents"), "doc_id", "text")
+    rows = vectors.vectorize(v.texts(spark, sf), "doc_id", "text")
     weights = vector_to_array("vector")
     return rows.select("doc_id", weights.alias("w")).select(
         "doc_id",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voxmill.functions import lexicons as lex
 from voxmill.functions.text import strip_space
 from voxmill.operators.joins import lookup_values
-from voxmill.session import prepare
+from voxmill.session import prepare, spread
 
 AS_OF = "2024-01-31 00:00:00"
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
@@ -48,6 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores: each text costs far more than its transport."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def from_documents(documents: DataFrame) -> DataFrame:
     """Documents to reviews: one projection and one explode, no shuffle."""
     doc = F.col("doc_id")
@@ -77,7 +82,7 @@ def from_documents(documents: DataFrame) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_documents(table(spark, sf_dir, "documents"))
+    return from_documents(texts(spark, sf_dir))
 
 
 def theme_name(cluster: Column) -> Column:

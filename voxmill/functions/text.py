@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 from voxmill.functions import lexicons as lex
 
 
+# All white space, as ``str.isspace`` sees it.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip_space(text: Column) -> Column:
-    """Remove white space of any kind at both ends (``trim`` knows only blanks)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Remove white space of any kind at both ends (plain ``trim`` knows only blanks)."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def passes_length(text: Column, max_chars: int = lex.MAX_CONTENT_LENGTH) -> Column:

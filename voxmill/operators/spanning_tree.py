@@ -23,7 +23,8 @@ from voxmill.operators.components import components
 from voxmill.operators.joins import salted_join
 from voxmill.session import cut_lineage, ship_with_tasks
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
+_COMPARE_ROWS = 512  # rows of one box compared with the other box at a time
 _LEVELS_PER_STEP = 4
 _INFINITE = float("inf")
 _TREE = "lo bigint, hi bigint, w double"
@@ -308,13 +309,17 @@ def _compare(pair) -> pd.DataFrame:
     outside = np.maximum(0.0, np.maximum(xb.min(axis=0) - xa, xa - xb.max(axis=0)))
     near = np.flatnonzero(np.sqrt((outside**2).sum(axis=1)) <= limit)
     a, xa, ca, limit = a[near], xa[near], ca[near], limit[near]
-    d2 = np.zeros((len(a), len(b)))
-    for axis in range(xb.shape[1]):
-        d2 += (xa[:, axis, None] - xb[None, :, axis]) ** 2
-    d2[ca[:, None] == cb[None, :]] = np.inf
-    # Members are sorted by id, so the first of equal distances is the right one.
-    at = d2.argmin(axis=1) if len(a) else np.zeros(0, dtype=int)
-    w = np.sqrt(d2[np.arange(len(a)), at])
+    at = np.zeros(len(a), dtype=np.int64)
+    w = np.zeros(len(a))
+    for start in range(0, len(a), _COMPARE_ROWS):
+        some = slice(start, start + _COMPARE_ROWS)
+        d2 = np.zeros((len(a[some]), len(b)))
+        for axis in range(xb.shape[1]):
+            d2 += (xa[some, axis, None] - xb[None, :, axis]) ** 2
+        d2[ca[some, None] == cb[None, :]] = np.inf
+        # Members are sorted by id, so the first of equal distances is the right one.
+        at[some] = d2.argmin(axis=1)
+        w[some] = np.sqrt(d2.min(axis=1))
     rows = pd.DataFrame(
         {
             "comp": ca,

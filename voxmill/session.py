@@ -30,6 +30,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a task when a table comes as fewer pieces than there are cores.
+
+    That happens with one small file, whose row groups cannot be split.  A table
+    of many files is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ship_with_tasks(module: str) -> None:
     """Send a module's task functions along with the tasks.
 
