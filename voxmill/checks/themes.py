@@ -245,7 +245,8 @@ def day_report(spark: SparkSession, sf: str) -> DataFrame:
     FROM numbered WHERE theme_no IS NOT NULL""",
 )
 def theme_numbered(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.theme_numbered(day_report(spark, sf)).select(
+    numbered = reports.theme_numbered(day_report(spark, sf)).where("theme_no IS NOT NULL")
+    return numbered.select(
         F.col("run_date").cast("string").alias("run_date"),
         "cluster_id",
         "theme_no",

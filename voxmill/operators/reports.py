@@ -33,19 +33,12 @@ MESSAGE_ACTION = "  *PM Action Recommendation:* %s"
 
 
 def theme_numbered(report: DataFrame, run: Sequence[str] = ("run_date",)) -> DataFrame:
-    """Number the themes of a run 1..k in cluster order; noise gets no number."""
-    themes = report.where(F.col("cluster_id") != NOISE).withColumn("_one", F.lit(1))
-    numbered = running_sum(themes, run, "cluster_id", "_one", "_before")
-    return numbered.withColumn("theme_no", (F.col("_before") + 1).cast("bigint")).drop(
-        "_one", "_before"
-    )
-
-
-def _with_noise_last(report: DataFrame, run: Sequence[str]) -> DataFrame:
-    noise = report.where(F.col("cluster_id") == NOISE)
-    return theme_numbered(report, run).unionByName(
-        noise.withColumn("theme_no", F.lit(None).cast("bigint"))
-    )
+    """Number the themes of a run 1..k in cluster order; noise has no number."""
+    is_theme = F.col("cluster_id") != NOISE
+    counted = report.withColumn("_one", is_theme.cast("int"))
+    numbered = running_sum(counted, run, "cluster_id", "_one", "_before")
+    number = F.when(is_theme, F.col("_before") + 1).cast("bigint")
+    return numbered.withColumn("theme_no", number).drop("_one", "_before")
 
 
 def _lines(*parts: Column) -> Column:
@@ -83,7 +76,7 @@ def digest_sections(report: DataFrame, run: Sequence[str] = ("run_date",)) -> Da
         F.lit(""),
     )
     last = F.lit(2**62).cast("bigint")
-    return _with_noise_last(report, run).select(
+    return theme_numbered(report, run).select(
         *run,
         F.coalesce("theme_no", last).alias("_no"),
         F.when(F.col("cluster_id") == NOISE, noise).otherwise(theme).alias("_text"),
@@ -116,7 +109,7 @@ def message_text(
         F.format_string(MESSAGE_ACTION, F.col("action_idea")),
     )
     # Every run that has rows gets a message, even when all of them are noise.
-    sections = _with_noise_last(report, run).select(
+    sections = theme_numbered(report, run).select(
         *run,
         F.coalesce("theme_no", F.lit(2**62).cast("bigint")).alias("_no"),
         F.when(F.col("cluster_id") != NOISE, section).alias("_text"),

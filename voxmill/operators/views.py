@@ -220,10 +220,10 @@ def _daily(theme_rows: DataFrame, order: str) -> DataFrame:
             F.max(F.struct(F.col("size"), (-F.col(order)).alias("o"), "theme_name")).alias("_top"),
         )
     )
-    day_size = per_theme.groupBy("run_date").agg(F.sum("size").alias("day_size"))
+    day_size = F.sum("size").over(W.partitionBy("run_date"))  # a day's themes, not its reviews
     return (
-        per_theme.where(F.col("norm_name").isNotNull())
-        .join(day_size, "run_date")
+        per_theme.withColumn("day_size", day_size)
+        .where(F.col("norm_name").isNotNull())
         .withColumns({"theme_name": F.col("_top.theme_name"), "top_size": F.col("_top.size")})
         .drop("_top")
     )
@@ -263,30 +263,9 @@ def spike_alerts(
     floor_pct: float = 5.0,
     order: str = "cluster_id",
 ) -> DataFrame:
-    """Themes whose share jumped from the previous available day to the latest.
-
-    Both days are single values from scalar subqueries, so one aggregate over the
-    rows of two days gives everything; nothing is joined to itself.
-    """
-    recent = _recent(theme_rows, as_of, days)
-    run_days = recent.select(F.col("run_date").alias("d"))
-    latest = run_days.agg(F.max("d")).scalar()
-    previous = run_days.where(F.col("d") < latest).agg(F.max("d")).scalar()
-    two_days = recent.where(
-        (F.col("run_date") == latest) | (F.col("run_date") == previous)
-    )
-    share = 100.0 * F.col("size") / F.nullif(F.col("day_size"), F.lit(0))
-    sides = (
-        _daily(two_days, order)
-        .select("norm_name", "theme_name", "run_date", share.alias("_pct"))
-        .groupBy("norm_name")
-        .agg(
-            F.max_by("theme_name", "run_date").alias("theme_name"),
-            F.max(F.when(F.col("run_date") == latest, F.col("_pct"))).alias("latest_pct"),
-            F.max(F.when(F.col("run_date") == previous, F.col("_pct"))).alias("previous_pct"),
-        )
-    )
-    return _alerts(sides, ratio, floor_pct)
+    """Themes whose share jumped from the previous available day to the latest."""
+    sides = _day_over_day(theme_rows, as_of, days, order).where("is_latest")
+    return _alerts(sides, ratio, floor_pct).drop("run_date", "is_latest")
 
 
 def spike_history(
@@ -298,26 +277,38 @@ def spike_history(
     order: str = "cluster_id",
 ) -> DataFrame:
     """The same test for every day of the window against the day before it."""
+    sides = _day_over_day(theme_rows, as_of, days, order)
+    return _alerts(sides, ratio, floor_pct).drop("is_latest")
+
+
+def _day_over_day(theme_rows: DataFrame, as_of: Column, days: int, order: str) -> DataFrame:
+    """Each theme's share per day, beside its share of the previous available day.
+
+    Days are numbered by their place among the days that have runs, so a theme
+    missing on the previous day has no share there.  A theme has one row per day
+    of the window; nothing is joined to itself.
+    """
     recent = _recent(theme_rows, as_of, days)
-    daily = _daily(recent, order)
-    all_days = recent.agg(F.sort_array(F.collect_set("run_date"))).scalar()
-    place = F.array_position(all_days, F.col("run_date"))
-    before = W.partitionBy("norm_name").orderBy("run_date")
+    run_days = recent.agg(F.sort_array(F.collect_set("run_date"))).scalar()
     share = 100.0 * F.col("size") / F.nullif(F.col("day_size"), F.lit(0))
-    sides = (
-        daily.withColumns({"latest_pct": share, "_place": place})
-        .withColumns(
-            {
-                "_pct": F.lag("latest_pct").over(before),
-                "_last": F.lag("_place").over(before),
-            }
-        )
-        .withColumn(
-            "previous_pct", F.when(F.col("_place") == F.col("_last") + 1, F.col("_pct"))
+    before = W.partitionBy("norm_name").orderBy("_place")
+    last = F.lag(F.struct("_place", "latest_pct")).over(before)
+    return (
+        _daily(recent, order)
+        .withColumn("_days", run_days)
+        .withColumns({"latest_pct": share, "_place": F.array_position("_days", F.col("run_date"))})
+        .withColumn("_last", last)
+        .select(
+            "run_date",
+            "norm_name",
+            "theme_name",
+            "latest_pct",
+            F.when(F.col("_last._place") == F.col("_place") - 1, F.col("_last.latest_pct")).alias(
+                "previous_pct"
+            ),
+            (F.col("_place") == F.size("_days")).alias("is_latest"),
         )
-        .select("run_date", "norm_name", "theme_name", "latest_pct", "previous_pct")
     )
-    return _alerts(sides, ratio, floor_pct)
 
 
 def _alerts(sides: DataFrame, ratio: float, floor_pct: float) -> DataFrame:
