@@ -57,8 +57,8 @@ def from_documents(documents: DataFrame) -> DataFrame:
     """Documents to reviews: one projection and one explode, no shuffle."""
     doc = F.col("doc_id")
     sentences = documents.select(
-        "doc_id", F.col("source").alias("origin"), F.posexplode(F.split("text", r"[.\n]+")).alias("pos", "raw")
-    )
+        "doc_id", F.col("source").alias("origin"), F.posexplode_outer(F.split("text", r"[.\n]+")).alias("pos", "raw")
+    ).where(F.col("raw").isNotNull())
     at = F.timestamp_seconds(F.lit(EPOCH) + 60 * ((doc * 37 + F.col("pos") * 11) % 43200))
     source = (
         F.when(doc % 3 == 0, "app_store").when(doc % 3 == 1, "play_store").otherwise("reddit")

@@ -31,7 +31,8 @@ POLARITY_SQL = (
 def cohort_filter(spark: SparkSession, sf: str) -> DataFrame:
     names = F.array(*[F.when(ratings.in_cohort(c), F.lit(c)) for c in COHORTS])
     rows = v.members(spark, sf)
-    return rows.select(F.explode(F.array_compact(names)).alias("cohort"), "review_id")
+    found = rows.select(F.explode_outer(names).alias("cohort"), "review_id")
+    return found.where(F.col("cohort").isNotNull())
 
 
 @check(

@@ -32,8 +32,8 @@ def in_cohort(cohort: str) -> Column:
     """Filter on review columns for ``all``, ``premium``, ``free``, ``ios`` or ``android``."""
 
     def tagged(word: str) -> Column:
-        tags = F.coalesce(F.col("inferred_segments"), F.array().cast("array<string>"))
-        return F.exists(tags, lambda tag: F.lower(tag).contains(word))
+        # Joined by line ends, which no word contains, the tags are one text.
+        return F.lower(F.array_join("inferred_segments", "\n")).contains(word)
 
     cohorts = {
         "all": F.lit(True),

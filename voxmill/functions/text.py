@@ -85,6 +85,24 @@ def contains_any(lowered: Column, terms: Sequence[str], whole_word: bool = False
     return reduce(lambda a, b: a | b, [lowered.contains(term) for term in terms])
 
 
+def matching_tags(
+    lowered: Column, lexicon: Mapping[str, Sequence[str]], whole_word: bool = False
+) -> Column:
+    """Labels whose terms occur in the lower-cased text, in lexicon order."""
+    none = F.array().cast("array<string>")
+    return F.concat(
+        *[
+            F.when(contains_any(lowered, terms, whole_word), F.array(F.lit(label))).otherwise(none)
+            for label, terms in lexicon.items()
+        ]
+    )
+
+
+def or_default(tags: Column, default: str = lex.DEFAULT_SEGMENT) -> Column:
+    """The tags, or the default label alone if there are none."""
+    return F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit(default)))
+
+
 def segment_tags(
     text: Column,
     lexicon: Mapping[str, Sequence[str]] = lex.SEGMENT_TERMS,
@@ -92,16 +110,7 @@ def segment_tags(
     whole_word: bool = False,
 ) -> Column:
     """All matching labels in lexicon order, or the default label alone."""
-    lowered = F.lower(text)
-    found = F.array_compact(
-        F.array(
-            *[
-                F.when(contains_any(lowered, terms, whole_word), F.lit(label))
-                for label, terms in lexicon.items()
-            ]
-        )
-    )
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
+    return or_default(matching_tags(F.lower(text), lexicon, whole_word), default)
 
 
 def normal_name(name: Column) -> Column:

@@ -36,9 +36,18 @@ def clusterable(reviews: DataFrame) -> DataFrame:
 def tag_segments(
     reviews: DataFrame, lexicon: Mapping[str, Sequence[str]] = lex.SEGMENT_TERMS
 ) -> DataFrame:
-    """Add ``inferred_segments`` from title and content."""
+    """Add ``inferred_segments`` from title and content.
+
+    Lower case and matches are columns of their own, so that each is computed
+    once per row although it is used several times.
+    """
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
-    return reviews.withColumn("inferred_segments", tx.segment_tags(text, lexicon))
+    return (
+        reviews.withColumn("_lowered", F.lower(text))
+        .withColumn("_found", tx.matching_tags(F.col("_lowered"), lexicon))
+        .withColumn("inferred_segments", tx.or_default(F.col("_found")))
+        .drop("_lowered", "_found")
+    )
 
 
 def clean(

@@ -50,7 +50,9 @@ def document_terms(docs: DataFrame, doc_id: str, text: str = "content") -> DataF
             (F.coalesce(F.get("_s", n + 1), F.size("_w")) - start).cast("bigint").alias("tf"),
         ),
     )
-    return words.withColumn("_s", starts).select("doc_id", F.inline(counted))
+    # The outer form keeps Spark from adding a filter that counts a second time.
+    rows = words.withColumn("_s", starts).select("doc_id", F.inline_outer(counted))
+    return rows.where(F.col("term").isNotNull())
 
 
 def vocabulary(terms: DataFrame, width: int = lex.VECTOR_WIDTH) -> DataFrame:

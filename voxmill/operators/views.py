@@ -48,9 +48,14 @@ def ingest_summary(
 
 
 def segment_counts(reviews: DataFrame) -> DataFrame:
-    """Reviews per segment tag; a review counts once under each of its tags."""
+    """Reviews per segment tag; a review counts once under each of its tags.
+
+    The outer form of explode keeps Spark from adding a filter on the tags, which
+    would compute them twice.
+    """
     return (
-        reviews.select(F.explode("inferred_segments").alias("segment"))
+        reviews.select(F.explode_outer("inferred_segments").alias("segment"))
+        .where(F.col("segment").isNotNull())
         .groupBy("segment")
         .agg(F.count("*").alias("reviews"))
     )
@@ -66,7 +71,7 @@ def top_segments(
     """
     tags = F.coalesce("inferred_segments", F.array().cast("array<string>"))
     counts = (
-        members.select(F.explode(F.array_append(tags, F.lit(""))).alias("segment"))
+        members.select(F.explode_outer(F.array_append(tags, F.lit(""))).alias("segment"))
         .groupBy("segment")
         .agg(F.count("*").alias("mentions"))
     )

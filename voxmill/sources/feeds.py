@@ -51,9 +51,11 @@ def label_feed_reviews(
     entries = pages.select(
         "page_pos",
         *_region(pages),
-        F.posexplode(json_items(F.col(payload), "$.feed.entry", schemas.LABEL_FEED_ENTRY)).alias(
-            "_at", "_e"
-        ),
+        # The outer form keeps Spark from parsing the page once more in a filter;
+        # pages without entries fall out with the entries that have no rating.
+        F.posexplode_outer(
+            json_items(F.col(payload), "$.feed.entry", schemas.LABEL_FEED_ENTRY)
+        ).alias("_at", "_e"),
     )
 
     def label(*path: str) -> Column:
@@ -141,7 +143,7 @@ def forum_listing_reviews(
     """Listing pages ``data.children[].data`` to reviews."""
     listing = F.from_json(F.col(payload), schemas.FORUM_LISTING)
     posts = pages.select(
-        "page_pos", F.posexplode(listing["data"]["children"]).alias("_at", "_child")
+        "page_pos", F.posexplode_outer(listing["data"]["children"]).alias("_at", "_child")
     ).select("_child.data.*", (F.col("page_pos") * _PAGE_ROWS + F.col("_at")).alias("feed_pos"))
     return forum_posts(posts, now, source)
 
