@@ -1,6 +1,5 @@
 """Operators for preparing training data for language models.
 
-Nothing else in the library imports this package.  Executors need it on their
-path (``--py-files``), since tasks keep word memos and vocabularies in its
-modules from one task to the next.
+Nothing else in the library imports this package.  Task functions travel with
+the tasks; executors need the libraries they use, not this package.
 """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import quality
+from voxmill.llm import neardup, quality
 from voxmill.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,8 @@ FROM failed f LEFT JOIN near USING (rid) LEFT JOIN own USING (rid)
 @query("op1_distribution_divergence", f"SELECT * EXCLUDE (rid) FROM ({quality_sql()})")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(read_table(spark, sf_dir, "documents"))
+
+
+@query("op8_coordinate_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
