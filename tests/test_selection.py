@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxmill.operators import selection, themes
-from voxmill.operators.joins import salted_join
+from voxmill.operators.joins import lookup_join
 
 
 def test_large_limit_on_a_hot_group(spark):
@@ -35,11 +35,11 @@ def test_running_sum_over_blocks(spark):
     assert found.count() == len(values)
 
 
-def test_salted_join_equals_join(spark):
+def test_lookup_join_equals_join(spark):
     big = spark.range(500).select(F.when(F.col("id") < 400, 1).otherwise(F.col("id")).alias("k"), "id")
     lookup = spark.createDataFrame([(1, "x"), (450, "y")], "k long, v string")
     for how, count in (("left", 500), ("inner", 401)):
-        found = salted_join(big, lookup, ["k"], F.col("id"), how)
+        found = lookup_join(big, lookup, ["k"], how)
         assert found.count() == count
         assert found.where(F.col("v").isNotNull()).count() == 401
 

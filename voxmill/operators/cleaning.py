@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxmill.functions import lexicons as lex
 from voxmill.functions import text as tx
 from voxmill.functions.dates import parse_date
-from voxmill.operators.joins import salted_join
+from voxmill.operators.joins import lookup_join
 
 
 def gate(
@@ -110,11 +110,10 @@ def translate(
     key = F.when(needed, F.sha2(F.col(column), 256)).otherwise(
         F.concat(F.lit("row-"), F.col(row_id))
     )
-    joined = salted_join(
+    joined = lookup_join(
         reviews.withColumn("source_hash", key),
         memory.select("source_hash", "text_en"),
         ["source_hash"],
-        F.col(row_id),
     )
     return joined.withColumn(column, F.coalesce("text_en", column)).drop("source_hash", "text_en")
 

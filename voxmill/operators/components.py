@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.operators.joins import salted_join
+from voxmill.operators.joins import lookup_join
 from voxmill.session import cut_lineage
 
 
@@ -16,7 +16,7 @@ def _with_smallest(pairs: DataFrame) -> DataFrame:
     rows spread out, so a hub with a third of all edges is no hot task.
     """
     smallest = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    joined = salted_join(pairs, smallest, ["u"], F.col("v"), how="inner")
+    joined = lookup_join(pairs, smallest, ["u"], how="inner")
     return joined.withColumn("m", F.least("m", "u"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.operators.components import components
-from voxmill.operators.joins import salted_join
+from voxmill.operators.joins import lookup_join
 from voxmill.operators.selection import running_sum
 from voxmill.operators.spanning_tree import BLOCK_ROWS, spanning_tree
 from voxmill.session import cut_lineage, ship_with_tasks
@@ -65,10 +65,10 @@ def cluster(
     members = regions.where(F.col("id") < 0).select(
         (-F.col("id") - 1).alias("vid"), F.col("region").alias("node")
     )
-    labelled = salted_join(members, chosen, ["node"], F.col("vid"))
+    labelled = lookup_join(members, chosen, ["node"])
     per_point = distinct.join(labelled.select("vid", "chosen"), "vid").select("x", "vid", "chosen")
     per_row = cut_lineage(
-        salted_join(rows, per_point.drop("vid"), ["x"], F.col("row_id")).select("row_id", "chosen")
+        lookup_join(rows, per_point.drop("vid"), ["x"]).select("row_id", "chosen")
     )
     if per_row.where(F.col("chosen").isNotNull()).isEmpty():
         return _named(halves(rows, "row_id"), row_id)
@@ -95,9 +95,8 @@ def _number(per_row: DataFrame) -> DataFrame:
         .withColumn("_one", F.lit(1))
     )
     numbers = running_sum(first, [], "_first", "_one", "_no").select("chosen", "_no")
-    clustered = salted_join(
-        per_row.where(F.col("chosen").isNotNull()), numbers, ["chosen"], F.col("row_id")
-    ).select("row_id", F.col("_no").cast("int").alias("cluster_id"))
+    clustered = lookup_join(
+        per_row.where(F.col("chosen").isNotNull()), numbers, ["chosen"]).select("row_id", F.col("_no").cast("int").alias("cluster_id"))
     noise = per_row.where(F.col("chosen").isNull())
     return clustered.unionByName(noise.select("row_id", F.lit(NOISE).alias("cluster_id")))
 
@@ -137,7 +136,7 @@ def _regions(
         return _fill_regions(parts.withColumn("top_region", whole))
     parts = cut_lineage(parts)
     tops = _piece_regions(parts, last)
-    return _fill_regions(salted_join(parts, tops, ["piece"], F.col("id")))
+    return _fill_regions(lookup_join(parts, tops, ["piece"]))
 
 
 def _cut_into_pieces(edges: DataFrame, piece_rows: int) -> DataFrame:
@@ -155,13 +154,13 @@ def _cut_into_pieces(edges: DataFrame, piece_rows: int) -> DataFrame:
         )
         if large.isEmpty():
             return edges
-        marked = cut_lineage(salted_join(edges, large, ["piece"], F.col("rank")))
+        marked = cut_lineage(lookup_join(edges, large, ["piece"]))
         short = marked.where(F.col("rank") <= F.col("middle"))
         rest = marked.where(F.col("middle").isNull() | (F.col("rank") > F.col("middle")))
         part_of = cut_lineage(components(short.select("a", "b")))
         named = cut_lineage(
-            salted_join(
-                short, part_of.withColumnRenamed("vertex", "a"), ["a"], F.col("rank"), how="inner"
+            lookup_join(
+                short, part_of.withColumnRenamed("vertex", "a"), ["a"], how="inner"
             )
         )
         weights = (
@@ -175,18 +174,17 @@ def _cut_into_pieces(edges: DataFrame, piece_rows: int) -> DataFrame:
             named.groupBy("component").agg(F.max("rank").alias("part")).join(weights, "component")
         )
         ends = cut_lineage(
-            salted_join(part_of, parts, ["component"], F.col("vertex"), how="inner").select(
+            lookup_join(part_of, parts, ["component"], how="inner").select(
                 "vertex", "part", "part_weight"
             )
         )
-        inner = salted_join(
-            named, parts.select("component", "part"), ["component"], F.col("rank"), how="inner"
+        inner = lookup_join(
+            named, parts.select("component", "part"), ["component"], how="inner"
         ).withColumn("piece", F.col("part"))
         outer = rest
         for side in ("a", "b"):
-            joined = salted_join(
-                outer, ends.withColumnRenamed("vertex", side), [side], F.col("rank")
-            )
+            joined = lookup_join(
+                outer, ends.withColumnRenamed("vertex", side), [side])
             outer = joined.withColumns(
                 {
                     side: F.coalesce("part", side),
@@ -292,7 +290,7 @@ def _piece_regions(parts: DataFrame, last: int) -> DataFrame:
         above = state.select(
             F.col("piece").alias("up"), F.col("up").alias("_up"), "region"
         )
-        moved = salted_join(open_, above, ["up"], F.col("piece")).select(
+        moved = lookup_join(open_, above, ["up"]).select(
             "piece", F.col("_up").alias("up"), "region"
         )
         state = cut_lineage(state.where(F.col("region").isNotNull()).unionByName(moved))
@@ -409,7 +407,7 @@ def _selectable(tree: DataFrame) -> DataFrame:
         )
         merges = F.col("_worth").isNull() & F.col("_next").isNotNull()
         merged = (
-            salted_join(raked.where(chains), lower, ["child"], F.col("node"))
+            lookup_join(raked.where(chains), lower, ["child"])
             .withColumns(
                 {
                     "worth": F.when(
@@ -448,8 +446,7 @@ def _topmost(tree: DataFrame) -> DataFrame:
         above = state.select(
             F.col("node").alias("up"), F.col("up").alias("_up"), F.col("chosen").alias("_chosen")
         )
-        moved = salted_join(
-            state.where(F.col("up").isNotNull()), above, ["up"], F.col("node")
-        ).select("node", F.col("_up").alias("up"), F.coalesce("_chosen", "chosen").alias("chosen"))
+        moved = lookup_join(
+            state.where(F.col("up").isNotNull()), above, ["up"]).select("node", F.col("_up").alias("up"), F.coalesce("_chosen", "chosen").alias("chosen"))
         state = cut_lineage(state.where(F.col("up").isNull()).unionByName(moved))
     return state.select("node", "chosen")

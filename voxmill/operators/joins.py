@@ -8,25 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def salted_join(
-    big: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    spread_by: Column,
-    how: str = "left",
-    salts: int = 16,
-) -> DataFrame:
-    """Join ``big`` to ``lookup`` on ``keys`` with the rows of one key spread out.
-
-    Spark broadcasts ``lookup`` by itself when its size is below
-    ``spark.sql.autoBroadcastJoinThreshold``.  Above that the join shuffles,
-    and a key with a third of all rows would land in one task; here it lands
-    in ``salts`` tasks, at the price of ``salts`` copies of the lookup rows.
-    ``spread_by`` must vary within a key, e.g. the row id.
+def lookup_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join ``big`` to a lookup with one row per key.
+
+    A plain join on purpose.  Spark broadcasts ``lookup`` by itself when its
+    size is below ``spark.sql.autoBroadcastJoinThreshold``; above that, a key
+    with a large share of the rows of ``big`` makes a partition that adaptive
+    execution splits (``spark.sql.adaptive.skewJoin.enabled``), copying only
+    that partition's few lookup rows.
     """
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+    return big.join(lookup, list(keys), how)
 
 
 def lookup_values(values: dict[str, str], key: Column, default: str | None = None) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.operators.components import components
-from voxmill.operators.joins import salted_join
+from voxmill.operators.joins import lookup_join
 from voxmill.session import cut_lineage, ship_with_tasks
 
 BLOCK_ROWS = 8192
@@ -90,7 +90,7 @@ def split_into_boxes(points: DataFrame, width: int, block_rows: int) -> DataFram
             return boxed
         upper = (F.get("x", F.col("axis")) > F.col("cut")).cast("bigint")
         boxed = cut_lineage(
-            salted_join(boxed, full, ["box"], F.col("vid")).select(
+            lookup_join(boxed, full, ["box"]).select(
                 "vid", "x", F.coalesce(F.col("box") * 2 + upper, "box").alias("box")
             )
         )
@@ -167,7 +167,7 @@ def _best(candidates: DataFrame) -> DataFrame:
 def _relabel(rows: DataFrame, joined: DataFrame, column: str, spread_by: str) -> DataFrame:
     names = joined.select(F.col("vertex").alias(column), "component")
     return (
-        salted_join(rows, names, [column], F.col(spread_by))
+        lookup_join(rows, names, [column])
         .withColumn(column, F.coalesce("component", column))
         .drop("component")
     )
@@ -178,7 +178,7 @@ def _edges_between_boxes(
 ) -> DataFrame:
     """For each component its best edge into another box, where better than known."""
     limits = known.select("comp", F.col("e.w").alias("limit"))
-    limited = salted_join(points, limits, ["comp"], F.col("vid"))
+    limited = lookup_join(points, limits, ["comp"])
     member = F.struct("vid", "x", "comp", F.coalesce("limit", F.lit(_INFINITE)).alias("limit"))
     packed = cut_lineage(
         limited.groupBy("box").agg(
@@ -201,8 +201,8 @@ def _edges_between_boxes(
         )
 
     # A box may be close to many, so its rows are spread on both sides.
-    both = salted_join(pairs, side("near"), ["near"], F.col("far"), how="inner")
-    both = salted_join(both, side("far"), ["far"], F.col("near"), how="inner")
+    both = lookup_join(pairs, side("near"), ["near"], how="inner")
+    both = lookup_join(both, side("far"), ["far"], how="inner")
     return both.drop("near", "far", "far_limit").mapInPandas(
         _compare_boxes, f"comp bigint, e {_EDGE}"
     )
@@ -273,7 +273,7 @@ def _descend(
     # A box with several components holds one other than any given component.
     foreign = F.col("npure").isNotNull() & ~same
     seen = cut_lineage(
-        salted_join(frontier, groups, ["far"], F.col("near"), how="inner")
+        lookup_join(frontier, groups, ["far"], how="inner")
         .withColumns({"_gap": nearest, "_span": F.when(foreign, farthest)})
         .where(~same & (F.col("_gap") <= F.col("limit")))
     )
@@ -282,9 +282,8 @@ def _descend(
         .groupBy("npure")
         .agg(F.min("_span").alias("_bound"))
     )
-    pure = salted_join(
-        seen.where(F.col("npure").isNotNull()), bounds, ["npure"], F.struct("near", "_in")
-    ).withColumn("limit", F.least(F.col("limit"), F.coalesce("_bound", F.lit(_INFINITE))))
+    pure = lookup_join(
+        seen.where(F.col("npure").isNotNull()), bounds, ["npure"]).withColumn("limit", F.least(F.col("limit"), F.coalesce("_bound", F.lit(_INFINITE))))
     columns = ["near", "nlow", "nhigh", "npure", "limit", F.col("_in").alias("far")]
     # A box of several components knows an edge for each of them already.
     mixed = seen.where(F.col("npure").isNull()).select(*columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxmill.functions import lexicons as lex
 from voxmill.functions import text as tx
-from voxmill.operators.joins import lookup_values, salted_join
+from voxmill.operators.joins import lookup_values, lookup_join
 from voxmill.operators.selection import running_sum, top_per_group
 
 NOISE = -1
@@ -221,7 +221,7 @@ def verify_quotes(
     ).where(F.length("_text") > 0)
     place = F.instr(F.lower("_text"), F.lower("_clean"))
     found = (
-        salted_join(texts, wanted, ["cluster_id"], F.col("_id"), how="inner")
+        lookup_join(texts, wanted, ["cluster_id"], how="inner")
         .withColumn("_at", place)
         .where(F.col("_at") > 0)
         .withColumn("_exact", tx.strip_space(F.expr("substring(_text, _at, length(_clean))")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxmill.functions import lexicons as lex
 from voxmill.operators import cleaning, density, themes, vectors
-from voxmill.operators.joins import salted_join
+from voxmill.operators.joins import lookup_join
 from voxmill.session import cut_lineage
 
 
@@ -52,5 +52,5 @@ def analyse(
         )
     )
     names = report.select("cluster_id", "theme_name")
-    members = salted_join(assigned, names, ["cluster_id"], F.col("position"))
+    members = lookup_join(assigned, names, ["cluster_id"])
     return Analysis(members, report)
