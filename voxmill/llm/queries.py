@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import neardup, quality
+from voxmill.llm import neardup, packing, quality, token_counts
 from voxmill.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_coordinate_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
+
+
+@query("op2_tiered_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_merge_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
