@@ -12,6 +12,7 @@ Windows of one context are dealt in turns, by attention cost, to step groups.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,57 +34,47 @@ from voxmill.session import ship_with_tasks
 ship_with_tasks(__name__)
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"  # the same vocabulary
 END = 1  # id that closes every document
 CONTEXT = 2048
 TIERS = tuple(CONTEXT >> k for k in range(12))  # 2048 to 1
 BLOCK_TOKENS = 2_000_000  # packed together
 GROUP = 8  # windows of one step group
-MEMO_PIECES = 400_000  # pieces a task remembers
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "context long, step_group long"
 )
 
-# Other white space than these may join a run that the cut below would split.
-_RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-# A run of white space and the word behind it: the pre-tokenizer never joins across the end of a word.
-_PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+# Beyond these the two libraries may know different versions of Unicode.
+_LATIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]")
 
 
-class PieceEncoder:
-    """Ids of whole texts by the tokenizer, with a memo for pieces between spaces.
+class DocumentEncoder:
+    """Ids of whole texts as the tokenizer file gives them.
 
-    Texts with special strings or unusual white space go to the tokenizer whole.
+    Plain Latin texts go through the library for merge ranks, which gives the
+    same ids several times faster; all others, and those with special strings,
+    through the tokenizer itself.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, ranks: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(encoding.ids, "<u4").tobytes() for encoding in found]
-
-    def ids(self, text: str) -> bytes:
-        if _RARE_SPACE.search(text) or any(token in text for token in self.special):
-            return self._encode([text])[0]
-        pieces = _PIECE.findall(text)
-        try:
-            return b"".join(map(self.memo.__getitem__, pieces))
-        except KeyError:
-            missing = list({piece for piece in pieces if piece not in self.memo})
-        if len(self.memo) + len(missing) > MEMO_PIECES:
-            self.memo.clear()
-            missing = list(set(pieces))
-        for at in range(0, len(missing), 2_000):
-            part = missing[at : at + 2_000]
-            self.memo.update(zip(part, self._encode(part), strict=True))
-        return b"".join(map(self.memo.__getitem__, pieces))
+        special = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.other = re.compile("|".join([_LATIN.pattern, *special]))
+        with open(ranks, "rb") as file:
+            table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        self.ranks = tiktoken.Encoding(
+            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
+        )
+
+    def ids(self, text: str) -> list[int]:
+        if self.other.search(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.ranks.encode_ordinary(text)
 
 
 class TierPacker:
@@ -158,9 +150,9 @@ def step_groups(windows: list[list[tuple[int, int, int]]], first: int) -> list[i
     return given
 
 
-def _packer(path: str):
+def _packer(path: str, ranks: str):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = PieceEncoder(path), TierPacker()
+        encoder, packer = DocumentEncoder(path, ranks), TierPacker()
         base = TaskContext.get().partitionId() << 40
         documents: dict[int, tuple[int | None, np.ndarray]] = {}
         number = sequences = groups = 0
@@ -189,7 +181,7 @@ def _packer(path: str):
         held = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encoder.ids(text or "") + END.to_bytes(4, "little"), "<u4")
+                ids = np.array([*encoder.ids(text or ""), END], "<u4")
                 documents[number] = (doc_id, ids)
                 ready += packer.add(number, len(ids))
                 number, held = number + 1, held + len(ids)
@@ -201,13 +193,14 @@ def _packer(path: str):
     return pack
 
 
-def pack(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
     """One row per piece: where the ids of a document lie and in which window.
 
     A null text is an empty one: its only id is the closing one.  Every row is
     a document of its own, also if ids repeat or are null.  An empty table has
-    no windows.  ``tokenizer`` is a path that every executor can open.
+    no windows.  ``tokenizer`` and ``ranks`` are files of one vocabulary, at
+    paths that every executor can open.
     """
-    path = tokenizer or public_tokenizers.path(TOKENIZER)
+    packer = _packer(tokenizer or public_tokenizers.path(TOKENIZER), ranks or public_tokenizers.path(RANKS))
     texts = only(documents, id="doc_id", text="text").select(F.col("id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(_packer(path), SCHEMA)
+    return texts.mapInArrow(packer, SCHEMA)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import neardup, packing, quality, token_counts
+from voxmill.llm import credentials, decontam, neardup, packing, quality, token_counts
 from voxmill.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_merge_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_linked_credentials")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.secret_spans(read_table(spark, sf_dir, "documents"))
+
+
+@query("op7_piece_matching")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
