@@ -1,11 +1,16 @@
-"""The corpus pipeline: quality rules first, packing last."""
+"""The corpus pipeline: from raw documents to packed training windows.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one
+before it kept; all but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import quality
+from voxmill.llm import credentials, decontam, neardup, packing, quality
 from voxmill.llm.shared import bounded_batches, read_table
+from voxmill.session import cut_lineage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,13 +19,46 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
+    bounded_batches(spark)
+    return neardup.keep_one_each(docs, words=5, similarity=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts give way to the name of their kind."""
+    bounded_batches(spark)
+    return credentials.redact_secrets(docs)
+
+
+def tiered_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each in its window."""
+    bounded_batches(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("tiered_packing", tiered_packing),
+]
 
+# SQL has no tokenizer; the tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each written before the next one reads it."""
     docs = read_table(spark, sf_dir, "documents")
-    for _name, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut_lineage(docs)
     return docs
