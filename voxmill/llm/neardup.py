@@ -388,10 +388,12 @@ def keep_one_each(documents: DataFrame, words: int = 5, similarity: int = 80) ->
     count as repeated.
     """
     found = near_duplicates(documents, words, similarity).where("kept").select(F.col("doc_id").alias("_kept"))
-    rows = documents.join(found.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    found = found.distinct()
+    rows = documents.join(found, documents["doc_id"].eqNullSafe(found["_kept"]), "left_semi")
     again = documents.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1)
     if again.isEmpty():
         return rows
     rest = [name for name in documents.columns if name not in ("doc_id", "text")]
     first = F.min(F.struct("text", *(F.col(f"`{name}`") for name in rest))).alias("_first")
-    return rows.groupBy("doc_id").agg(first).select("doc_id", "_first.*").select(*(F.col(f"`{n}`") for n in documents.columns))
+    columns = (F.col(f"`{name}`") for name in documents.columns)
+    return rows.groupBy("doc_id").agg(first).select("doc_id", "_first.*").select(*columns)

@@ -288,6 +288,6 @@ def keep_good(documents: DataFrame) -> DataFrame:
 
     Rows and counts are written once and read twice, as in ``quality_table``.
     """
-    described = cut_lineage(describe(documents))
-    kept = judge(described, fit_references(described)).where("kept")
-    return kept.select(*(F.col(f"`{name}`") for name in documents.columns))
+    rows = documents.select(F.struct(*(F.col(f"`{name}`") for name in documents.columns)).alias("row"))
+    described = cut_lineage(describe(rows.select("row", "row.text", "row.lang")))
+    return judge(described, fit_references(described)).where("kept").select("row.*")
