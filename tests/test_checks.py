@@ -14,6 +14,7 @@ SAME_TYPE = {
     "string": "VARCHAR",
     "double": "DOUBLE",
     "boolean": "BOOLEAN",
+    "date": "DATE",
 }
 
 
