@@ -157,13 +157,19 @@ def segment_tags_default(spark: SparkSession, sf: str) -> DataFrame:
 
 def messy_dates(rows: DataFrame) -> DataFrame:
     """The reviews' dates written in the ways the sources write them."""
-    kind = F.col("pos") % 6
+    kind = F.col("pos") % 12
     text = (
         F.when(kind == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .when(kind == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
         .when(kind == 2, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-07:00")))
         .when(kind == 3, "")
         .when(kind == 4, "not a date")
+        .when(kind == 6, F.date_format("ts", "yyyy-MM-dd'T'HH:mm'Z'"))
+        .when(kind == 7, F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"))
+        .when(kind == 8, F.date_format("ts", "HH:mm"))
+        .when(kind == 9, F.date_format("ts", "yyyy"))
+        .when(kind == 10, F.date_format("ts", "yyyy-MM"))
+        .when(kind == 11, F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" Europe/Berlin")))
         .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     )
     return rows.withColumn("date", text)
@@ -172,8 +178,8 @@ def messy_dates(rows: DataFrame) -> DataFrame:
 # What the dates above mean, stated from the time they were made of.
 MESSY = f"""{v.REVIEWS},
 dated AS (
-  SELECT *, CASE WHEN pos % 6 IN (0, 1, 5) THEN ts
-                 WHEN pos % 6 = 2 THEN ts + INTERVAL 7 HOUR END AS said
+  SELECT *, CASE WHEN pos % 12 IN (0, 1, 5, 6, 7) THEN ts
+                 WHEN pos % 12 = 2 THEN ts + INTERVAL 7 HOUR END AS said
   FROM reviews
 )"""
 

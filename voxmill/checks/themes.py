@@ -137,7 +137,7 @@ def noise_samples(spark: SparkSession, sf: str) -> DataFrame:
     FROM reviews ORDER BY feed_pos LIMIT 3""",
 )
 def first_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    return themes.noise_samples(v.reviews(spark, sf), "feed_pos", (), 3, 100_000)
+    return themes.noise_samples(v.reviews(spark, sf), "feed_pos", (), 3, None)
 
 
 @check(

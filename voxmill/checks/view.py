@@ -137,16 +137,8 @@ def normal_sql(name: str) -> str:
     return strip_sql(rf"regexp_replace(lower({name}), '[\s\p{{Z}}]+', ' ', 'g')")
 
 
-EMAIL_SQL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+"
-PHONE_SQL = r"\b(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"
-IP_SQL = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
-HANDLE_SQL = r"@[\p{L}\p{N}_]+"
-PII_SQL = [
-    ("email", EMAIL_SQL, "[REDACTED_EMAIL]"),
-    ("phone", PHONE_SQL, "[REDACTED_PHONE]"),
-    ("ip", IP_SQL, "[REDACTED_IP]"),
-    ("handle", HANDLE_SQL, "[REDACTED_HANDLE]"),
-]
+# The library's own patterns; the SQL engine's word class is ASCII only, Spark's here is not.
+PII_SQL = [(name, pattern.replace(r"\w", r"[\p{L}\p{N}_]"), token) for name, pattern, token in lex.PII_PATTERNS]
 
 
 def scrub_sql(text: str, steps: int = 4) -> str:

@@ -9,9 +9,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_ISO = (
+    r"^(\d{4})(-?)(\d{2})\2(\d{2})"
+    r"(?:[Tt ](\d{2})(?::?(\d{2})(?::?(\d{2})([.,]\d+)?)?)? ?([Zz]|[+-]\d{2}(?::?\d{2})?)?)?$"
+)
+
+
 def parse_date(text: Column) -> Column:
-    """ISO date text (offset, ``Z``, naive = UTC, fractions) to a timestamp, else null."""
-    return F.trim(text).try_cast("timestamp")
+    """ISO date text to a timestamp, else null.
+
+    A whole date, dashed or not, then optionally hours, minutes, seconds and
+    fractions, then optionally ``Z`` or an offset; without one it is UTC.  A
+    year or month alone, a time alone and zone names are no dates: the result
+    never depends on the clock.
+    """
+    trimmed = F.trim(text)
+    part = lambda group: F.regexp_extract(trimmed, _ISO, group)
+    two = lambda group: F.rpad(part(group), 2, "0")
+    digits = F.regexp_replace(part(9), r"[^\d]", "")
+    offset = F.when(
+        digits != "", F.concat(F.substring(part(9), 1, 1), F.substring(digits, 1, 2), F.lit(":"), _minutes(digits))
+    ).otherwise("Z")
+    whole = F.concat(
+        part(1), F.lit("-"), part(3), F.lit("-"), part(4), F.lit("T"), two(5), F.lit(":"), two(6), F.lit(":"), two(7),
+        F.replace(part(8), F.lit(","), F.lit(".")), offset,
+    )
+    return F.when(trimmed.rlike(_ISO), whole).try_cast("timestamp")
+
+
+def _minutes(digits: Column) -> Column:
+    return F.rpad(F.substring(digits, 3, 2), 2, "0")
 
 
 def timeframe_seconds(text: Column, default_days: int = 7) -> Column:
@@ -29,12 +56,3 @@ def parse_timeframe(text: str, default_days: int = 7) -> timedelta:
         return timedelta(days=default_days)
     amount = int(found.group(1))
     return timedelta(hours=amount) if found.group(2) == "h" else timedelta(days=amount)
-
-
-def within(
-    at: Column,
-    earliest: Column,
-    latest: Column | None = None,
-) -> Column:
-    """``earliest <= at`` and, if given, ``at <= latest``."""
-    return at >= earliest if latest is None else (at >= earliest) & (at <= latest)

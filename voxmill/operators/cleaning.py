@@ -98,24 +98,17 @@ def translate(
     memory: DataFrame,
     column: str = "content",
     threshold: float = lex.ENGLISH_ASCII_SHARE,
-    row_id: str = "review_id",
 ) -> DataFrame:
     """Replace foreign texts by their entry in ``memory(source_hash, text_en)``.
 
-    A text without an entry stays.  Rows that need no translation get a key of
-    their own, so that they spread over all tasks instead of meeting under one
-    null key; rows that share one foreign text are salted.
+    A text without an entry stays.  Only rows that need a translation go
+    through the join; the others are added after it as they are, unshuffled.
     """
-    needed = tx.needs_translation(F.col(column), threshold)
-    key = F.when(needed, F.sha2(F.col(column), 256)).otherwise(
-        F.concat(F.lit("row-"), F.col(row_id))
-    )
-    joined = lookup_join(
-        reviews.withColumn("source_hash", key),
-        memory.select("source_hash", "text_en"),
-        ["source_hash"],
-    )
-    return joined.withColumn(column, F.coalesce("text_en", column)).drop("source_hash", "text_en")
+    needed = F.coalesce(tx.needs_translation(F.col(column), threshold), F.lit(False))
+    foreign = reviews.where(needed).withColumn("source_hash", F.sha2(F.col(column), 256))
+    joined = lookup_join(foreign, memory.select("source_hash", "text_en"), ["source_hash"])
+    translated = joined.withColumn(column, F.coalesce("text_en", column)).select(*reviews.columns)
+    return translated.unionByName(reviews.where(~needed))
 
 
 def anchored_window(

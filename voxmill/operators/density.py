@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 
 from voxmill.operators.components import components
 from voxmill.operators.joins import lookup_join
-from voxmill.operators.selection import running_sum
+from voxmill.operators.selection import numbered
 from voxmill.operators.spanning_tree import BLOCK_ROWS, spanning_tree
 from voxmill.session import cut_lineage, ship_with_tasks
 
+# Sums of stabilities depend on their order in the last digits: a cluster that reaches the sum of
+# its parts but for this share counts as equal, in one task and in joins alike.
+TIE = 1e-9
+
 NOISE = -1
 PIECE_ROWS = 50_000
 
@@ -81,7 +85,7 @@ def _named(labels: DataFrame, row_id: str) -> DataFrame:
 
 def halves(rows: DataFrame, position: str) -> DataFrame:
     """The first half of the rows by position gets 0, the rest 1."""
-    ranked = running_sum(rows.select(position).withColumn("_one", F.lit(1)), [], position, "_one", "_before")
+    ranked = numbered(rows.select(position), [F.col(position)], "_before")
     half = F.floor(rows.agg(F.count("*")).scalar() / 2)
     return ranked.select(position, F.when(F.col("_before") < half, 0).otherwise(1).alias("cluster_id"))
 
@@ -92,11 +96,11 @@ def _number(per_row: DataFrame) -> DataFrame:
         per_row.where(F.col("chosen").isNotNull())
         .groupBy("chosen")
         .agg(F.min("row_id").alias("_first"))
-        .withColumn("_one", F.lit(1))
     )
-    numbers = running_sum(first, [], "_first", "_one", "_no").select("chosen", "_no")
-    clustered = lookup_join(
-        per_row.where(F.col("chosen").isNotNull()), numbers, ["chosen"]).select("row_id", F.col("_no").cast("int").alias("cluster_id"))
+    numbers = numbered(first, [F.col("_first")], "_no").select("chosen", "_no")
+    clustered = lookup_join(per_row.where(F.col("chosen").isNotNull()), numbers, ["chosen"]).select(
+        "row_id", F.col("_no").cast("int").alias("cluster_id")
+    )
     noise = per_row.where(F.col("chosen").isNull())
     return clustered.unionByName(noise.select("row_id", F.lit(NOISE).alias("cluster_id")))
 
@@ -183,8 +187,7 @@ def _cut_into_pieces(edges: DataFrame, piece_rows: int) -> DataFrame:
         ).withColumn("piece", F.col("part"))
         outer = rest
         for side in ("a", "b"):
-            joined = lookup_join(
-                outer, ends.withColumnRenamed("vertex", side), [side])
+            joined = lookup_join(outer, ends.withColumnRenamed("vertex", side), [side])
             outer = joined.withColumns(
                 {
                     side: F.coalesce("part", side),
@@ -351,7 +354,7 @@ def _select(tree: pd.DataFrame) -> pd.DataFrame:
     for node in reversed(order):
         below = sum(best[child] for child in children.get(node, []))
         best[node] = max(stability[node], below)
-        if parent[node] is not None and stability[node] >= below:
+        if parent[node] is not None and stability[node] >= below * (1 - TIE):
             selectable.add(node)
     chosen: dict[int, int | None] = {}
     for node in order:
@@ -427,7 +430,7 @@ def _selectable(tree: DataFrame) -> DataFrame:
         )
         state = cut_lineage(raked.where(~chains).unionByName(merged))
     below = state.groupBy(F.col("parent").alias("node")).agg(F.sum("worth").alias("_gained"))
-    enough = F.col("stability") >= F.coalesce("_gained", F.lit(0.0))
+    enough = F.col("stability") >= F.coalesce("_gained", F.lit(0.0)) * (1 - TIE)
     return state.join(below, "node", "left").select(
         "node", "parent", (enough & F.col("parent").isNotNull()).alias("selectable")
     )
@@ -446,7 +449,8 @@ def _topmost(tree: DataFrame) -> DataFrame:
         above = state.select(
             F.col("node").alias("up"), F.col("up").alias("_up"), F.col("chosen").alias("_chosen")
         )
-        moved = lookup_join(
-            state.where(F.col("up").isNotNull()), above, ["up"]).select("node", F.col("_up").alias("up"), F.coalesce("_chosen", "chosen").alias("chosen"))
+        moved = lookup_join(state.where(F.col("up").isNotNull()), above, ["up"]).select(
+            "node", F.col("_up").alias("up"), F.coalesce("_chosen", "chosen").alias("chosen")
+        )
         state = cut_lineage(state.where(F.col("up").isNull()).unionByName(moved))
     return state.select("node", "chosen")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxmill.session import cut_lineage
+
 # Spark cuts each group inside the map tasks when a rank filter is at most
 # this (spark.sql.optimizer.windowGroupLimitThreshold).
 _MAP_SIDE_LIMIT = 1000
@@ -102,3 +104,19 @@ def running_sum(
         .withColumn(name, F.col("_start") + F.coalesce(F.sum(value).over(before), F.lit(0)))
         .drop("_block", "_start")
     )
+
+
+def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Number all rows from 0 in the given total order, without bringing them together.
+
+    The rows are sorted over many tasks and counted per task; a row's number is
+    its place in its task plus the rows of the tasks before.  The table of task
+    counts has one row per task of the sort.
+    """
+    placed = cut_lineage(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    task, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted(placed.groupBy(task.alias("task")).agg(F.count("*").alias("rows")).collect())
+    starts = [(number, sum(row["rows"] for row in counts[:k])) for k, (number, _) in enumerate(counts)]
+    before = rows.sparkSession.createDataFrame(starts, "_task bigint, _start bigint")
+    joined = placed.withColumn("_task", task).join(F.broadcast(before), "_task")
+    return joined.withColumn(name, F.col("_start") + place).drop("_at", "_task", "_start")

@@ -7,6 +7,11 @@ lie close enough to beat the best edge known so far.  Boxes too far away, or
 within one component, are ruled out on their bounds alone; only the rest is
 compared point by point, in numpy, two boxes per call.  No cell, key or group
 ever brings more than two boxes together, however dense the data.
+
+Edges have one total order everywhere: squared length, then smaller end, then
+larger end.  Squares are summed axis by axis in all places, bounds included, so
+an edge has the same square wherever it is met; roots are taken at the end.
+With a strict order the rounds cannot close a circle.
 """
 
 from __future__ import annotations
@@ -40,21 +45,28 @@ def spanning_tree(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     Equal lengths are ordered by their end points.
     """
     if points.limit(block_rows + 1).count() <= block_rows:  # one box holds all
-        return points.withColumn("box", F.lit(1)).groupBy("box").applyInPandas(
-            _box_tree, _TREE
-        )
+        tree = points.withColumn("box", F.lit(1)).groupBy("box").applyInPandas(_box_tree, _TREE)
+        return _rooted(tree)
     width = len(points.select("x").first()["x"])
     boxed = split_into_boxes(points, width, block_rows)
     local = cut_lineage(boxed.groupBy("box").applyInPandas(_box_tree, _TREE))
     depth = boxed.agg(F.max(_depth(F.col("box")))).first()[0]
-    return _join_boxes(boxed, local, width, depth)
+    tree = _join_boxes(boxed, local, width, depth)
+    edges, rows = tree.count(), boxed.count()
+    if edges != rows - 1:
+        raise RuntimeError(f"{edges} edges for {rows} points: no tree")
+    return _rooted(tree)
+
+
+def _rooted(tree: DataFrame) -> DataFrame:
+    return tree.withColumn("w", F.sqrt("w"))
 
 
 # --- boxes ------------------------------------------------------------------
 
 
 def _depth(box: Column) -> Column:
-    return F.floor(F.log2(box.cast("double"))).cast("int")
+    return F.length(F.bin(box)) - 1
 
 
 def split_into_boxes(points: DataFrame, width: int, block_rows: int) -> DataFrame:
@@ -96,8 +108,16 @@ def split_into_boxes(points: DataFrame, width: int, block_rows: int) -> DataFram
         )
 
 
+def _squares(differences: np.ndarray) -> np.ndarray:
+    """Squared lengths of the last axis, summed from first to last."""
+    total = np.zeros(differences.shape[:-1])
+    for axis in range(differences.shape[-1]):
+        total += differences[..., axis] ** 2
+    return total
+
+
 def _box_tree(rows: pd.DataFrame) -> pd.DataFrame:
-    """Spanning tree of one box (Prim); equal lengths go by end points."""
+    """Spanning tree of one box (Prim), ``w`` squared; equal lengths go by end points."""
     rows = rows.sort_values("vid", ignore_index=True)
     ids = rows["vid"].to_numpy()
     x = np.stack(rows["x"].to_numpy())
@@ -112,7 +132,7 @@ def _box_tree(rows: pd.DataFrame) -> pd.DataFrame:
     outside[0] = False
     current, edges = 0, []
     for _ in range(n - 1):
-        d2 = ((x - x[current]) ** 2).sum(axis=1)
+        d2 = _squares(x - x[current])
         closer = outside & ((d2 < best) | ((d2 == best) & (current < nearest)))
         best[closer], nearest[closer] = d2[closer], current
         open_ = np.where(outside, best, np.inf)
@@ -120,7 +140,7 @@ def _box_tree(rows: pd.DataFrame) -> pd.DataFrame:
         ends = [(min(i, nearest[i]), max(i, nearest[i]), i) for i in tied]
         lo, hi, current = min(ends)
         outside[current] = False
-        edges.append((ids[lo], ids[hi], float(np.sqrt(best[current]))))
+        edges.append((ids[lo], ids[hi], float(best[current])))
     return pd.DataFrame(edges, columns=["lo", "hi", "w"])
 
 
@@ -147,9 +167,9 @@ def _join_boxes(boxed: DataFrame, local: DataFrame, width: int, depth: int) -> D
         )
         if joined.select("component").distinct().limit(2).count() < 2:
             return reduce(DataFrame.unionByName, tree)
-        points = cut_lineage(_relabel(points, joined, "comp", "vid"))
+        points = cut_lineage(_relabel(points, joined, "comp"))
         inner = cut_lineage(
-            _relabel(_relabel(inner, joined, "ca", "hi"), joined, "cb", "lo").where(
+            _relabel(_relabel(inner, joined, "ca"), joined, "cb").where(
                 F.col("ca") != F.col("cb")
             )
         )
@@ -164,7 +184,7 @@ def _best(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("comp").agg(F.min("e").alias("e"))
 
 
-def _relabel(rows: DataFrame, joined: DataFrame, column: str, spread_by: str) -> DataFrame:
+def _relabel(rows: DataFrame, joined: DataFrame, column: str) -> DataFrame:
     names = joined.select(F.col("vertex").alias(column), "component")
     return (
         lookup_join(rows, names, [column])
@@ -200,7 +220,7 @@ def _edges_between_boxes(
             F.col("box").alias(prefix), flat, column("vid"), column("comp"), column("limit")
         )
 
-    # A box may be close to many, so its rows are spread on both sides.
+    # A box may be close to many: a hot key that adaptive execution splits.
     both = lookup_join(pairs, side("near"), ["near"], how="inner")
     both = lookup_join(both, side("far"), ["far"], how="inner")
     return both.drop("near", "far", "far_limit").mapInPandas(
@@ -267,8 +287,8 @@ def _descend(
         )
         for i in range(width)
     ]
-    nearest = F.sqrt(reduce(lambda a, b: a + b, [g * g for g in gaps]))
-    farthest = F.sqrt(reduce(lambda a, b: a + b, [s * s for s in spans]))
+    nearest = reduce(lambda a, b: a + b, [g * g for g in gaps])
+    farthest = reduce(lambda a, b: a + b, [s * s for s in spans])
     same = F.coalesce(F.col("npure") == F.col("fpure"), F.lit(False))
     # A box with several components holds one other than any given component.
     foreign = F.col("npure").isNotNull() & ~same
@@ -282,8 +302,9 @@ def _descend(
         .groupBy("npure")
         .agg(F.min("_span").alias("_bound"))
     )
-    pure = lookup_join(
-        seen.where(F.col("npure").isNotNull()), bounds, ["npure"]).withColumn("limit", F.least(F.col("limit"), F.coalesce("_bound", F.lit(_INFINITE))))
+    pure = lookup_join(seen.where(F.col("npure").isNotNull()), bounds, ["npure"]).withColumn(
+        "limit", F.least(F.col("limit"), F.coalesce("_bound", F.lit(_INFINITE)))
+    )
     columns = ["near", "nlow", "nhigh", "npure", "limit", F.col("_in").alias("far")]
     # A box of several components knows an edge for each of them already.
     mixed = seen.where(F.col("npure").isNull()).select(*columns)
@@ -306,7 +327,7 @@ def _compare(pair) -> pd.DataFrame:
     ca, cb = np.asarray(pair.near_comp), np.asarray(pair.far_comp)
     limit = np.asarray(pair.near_limit, dtype=float)
     outside = np.maximum(0.0, np.maximum(xb.min(axis=0) - xa, xa - xb.max(axis=0)))
-    near = np.flatnonzero(np.sqrt((outside**2).sum(axis=1)) <= limit)
+    near = np.flatnonzero(_squares(outside) <= limit)
     a, xa, ca, limit = a[near], xa[near], ca[near], limit[near]
     at = np.zeros(len(a), dtype=np.int64)
     w = np.zeros(len(a))
@@ -318,7 +339,7 @@ def _compare(pair) -> pd.DataFrame:
         d2[ca[some, None] == cb[None, :]] = np.inf
         # Members are sorted by id, so the first of equal distances is the right one.
         at[some] = d2.argmin(axis=1)
-        w[some] = np.sqrt(d2.min(axis=1))
+        w[some] = d2.min(axis=1)
     rows = pd.DataFrame(
         {
             "comp": ca,

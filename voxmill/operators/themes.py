@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxmill.functions import lexicons as lex
 from voxmill.functions import text as tx
-from voxmill.operators.joins import lookup_values, lookup_join
+from voxmill.operators.joins import lookup_join, lookup_values
 from voxmill.operators.selection import running_sum, top_per_group
 
 NOISE = -1
@@ -95,14 +95,15 @@ def noise_samples(
     position: str,
     keys: Sequence[str] = (),
     count: int = 2,
-    chars: int = 100,
+    chars: int | None = 100,
 ) -> DataFrame:
-    """The first ``count`` contents, cut to ``chars`` characters.
+    """The first ``count`` contents, cut to ``chars`` characters, or whole ones without ``chars``.
 
     With no keys it serves runs without clusters; one literal key keeps the
     map-side limit of the ranked form.
     """
-    cut = F.substring(F.coalesce("content", F.lit("")), 1, chars)
+    content = F.coalesce("content", F.lit(""))
+    cut = content if chars is None else F.substring(content, 1, chars)
     rows = reviews.withColumn("_all", F.lit(0))
     groups = list(keys) or ["_all"]
     ranked = top_per_group(rows, groups, [F.col(position)], count, [position], rank="quote_rank")
