@@ -128,3 +128,17 @@ def test_actions_are_short():
     assert set(lex.THEME_ACTIONS) == {*lex.THEME_TERMS, lex.DEFAULT_THEME}
     assert all(len(text.split()) <= 25 for text in lex.THEME_ACTIONS.values())
     assert all(len(name.split()) <= 6 for name in lex.THEME_TERMS if "Data" not in name)
+
+
+def test_date_forms(spark):
+    day = "2024-01-05 10:00:00"
+    forms = {
+        "2024-01-05T10:00Z": day, "20240105T100000Z": day, "2024-01-05 10": day, "2024-01-05T10:00:00.5Z": day + ".5",
+        "2024-01-05T10:00:00,5": day + ".5", "2024-01-05T12:00+0200": day, "2024-01-05T12:00:00+02": day,
+        "2024-01-05T12:00:00+02:00": day, "2024-01-05": "2024-01-05 00:00:00", "20240105": "2024-01-05 00:00:00",
+        " 2024-01-05t10:00:00z ": day, "12:30": None, "2024": None, "2024-01": None, "": None, None: None,
+        "2024-01-05 10:00:00 Europe/Berlin": None, "2024-13-05": None, "2024-01-05T25:00": None, "2024-0105": None,
+    }
+    table = spark.createDataFrame([(form,) for form in forms], "form string")
+    found = {r.form: r.at for r in table.select("form", dates.parse_date(F.col("form")).cast("string").alias("at")).collect()}
+    assert found == forms

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxmill.checks import view as v
 from voxmill.checks.registry import check
 from voxmill.operators import experiments, views
-from voxmill.sources import feeds, files
+from voxmill.sources import feeds, files, runs
 
 
 def feed_pages(documents: DataFrame) -> DataFrame:
@@ -317,3 +317,48 @@ def spike_alerts_sensitive(spark: SparkSession, sf: str) -> DataFrame:
 def spike_history(spark: SparkSession, sf: str) -> DataFrame:
     found = views.spike_history(v.event_themes(spark, sf), F.to_date(v.now()), ratio=1.05)
     return found.withColumn("run_date", F.col("run_date").cast("string"))
+
+
+def run_files(documents: DataFrame) -> DataFrame:
+    """A nested theme row per document, as run files hold them; every fifth has only a stored size."""
+    doc = F.col("doc_id")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (doc % 28).cast("int"))
+    name = F.concat(F.lit("cluster_results_"), F.date_format(day, "yyyyMMdd"), F.lit("_120000.json"))
+    reviews = F.transform(
+        F.split("text", r"[.\n]+"),
+        lambda text, i: F.struct(F.concat_ws("-", doc, i).alias("review_id"), text.alias("content")),
+    )
+    return documents.select(
+        name.alias("filename"),
+        doc.cast("int").alias("cluster_id"),
+        F.concat(F.lit("theme "), doc % 9).alias("theme_name"),
+        F.lit("act").alias("action_idea"),
+        (doc % 50).alias("size"),
+        F.when(doc % 5 != 0, reviews).alias("reviews"),
+    )
+
+
+_RUN_SQL = f"""{v.REVIEWS}, named AS (
+  SELECT *, 'cluster_results_' || strftime(DATE '2024-01-01' + (doc_id % 28)::INT, '%Y%m%d') || '_120000.json' AS filename,
+    (DATE '2024-01-01' + (doc_id % 28)::INT)::VARCHAR AS run_day, 'theme ' || (doc_id % 9) AS theme FROM sentences)"""
+
+
+@check(
+    "run_members",
+    f"""WITH {_RUN_SQL} SELECT filename, run_day AS run_date, doc_id::INT AS cluster_id, theme AS theme_name,
+      doc_id || '-' || pos AS review_id, raw AS content FROM named WHERE doc_id % 5 <> 0""",
+)
+def run_members(spark: SparkSession, sf: str) -> DataFrame:
+    found = runs.members_of_runs(run_files(v.texts(spark, sf)))
+    return found.withColumn("run_date", F.col("run_date").cast("string"))
+
+
+@check(
+    "run_theme_rows",
+    f"""WITH {_RUN_SQL} SELECT filename, run_day AS run_date, doc_id::INT AS cluster_id, theme AS theme_name,
+      'act' AS action_idea, CASE WHEN max(doc_id) % 5 = 0 THEN max(doc_id) % 50 ELSE count(*) END::BIGINT AS size
+    FROM named GROUP BY filename, run_day, doc_id, theme""",
+)
+def run_theme_rows(spark: SparkSession, sf: str) -> DataFrame:
+    found = runs.theme_rows_of_runs(run_files(v.texts(spark, sf))).drop("position")
+    return found.withColumn("run_date", F.col("run_date").cast("string"))

@@ -65,6 +65,20 @@ def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("run_date", F.col("run_date").cast("string"))
 
 
+@check(
+    "stream_daily_updates",
+    """SELECT ts::DATE::VARCHAR AS run_date, lower(trim(event_type)) AS norm_name, count(*) AS size
+    FROM events GROUP BY ALL""",
+)
+def stream_daily_updates(spark: SparkSession, sf: str) -> DataFrame:
+    folder = work_dir(spark)
+    counts = streams.daily_counts(_event_stream(spark, sf), "ts", "event_type")
+    write = streams.merge_days(f"{folder}/out", ["norm_name"])
+    streams.write_batches(counts, write, f"{folder}/checkpoint", "update").awaitTermination()
+    found = spark.read.schema(counts.schema).parquet(f"{folder}/out")
+    return found.withColumn("run_date", F.col("run_date").cast("string"))
+
+
 @check(
     "stream_cap",
     f"""WITH {v.CLEAN} SELECT source, review_id FROM clean

@@ -9,6 +9,8 @@ from voxmill.checks import view as v
 from voxmill.checks.registry import check
 from voxmill.functions import lexicons as lex
 from voxmill.operators import reports, themes
+from voxmill.plans.delivery import deliver
+from voxmill.session import cut_lineage, work_dir
 
 DOC_CLUSTERS = f"""{v.REVIEWS},
 assigned AS (SELECT * REPLACE (CASE WHEN doc_id % 10 = 0 THEN -1 ELSE doc_id END::INT AS cluster_id) FROM reviews)"""
@@ -303,3 +305,42 @@ def message_text(spark: SparkSession, sf: str) -> DataFrame:
     link = F.lit("https://example.org/digest")
     found = reports.message_text(day_report(spark, sf), week, link)
     return found.withColumn("run_date", F.col("run_date").cast("string"))
+
+
+@check(
+    "synthesis_fallback",
+    f"""WITH {DOC_CLUSTERS}, {report_sql('cluster_id', 'assigned', v.THEME_SYLLABLES)}
+    SELECT cluster_id,
+      CASE WHEN cluster_id >= 0 AND cluster_id % 3 = 1 THEN 'Outside name ' || cluster_id ELSE theme_name END AS theme_name,
+      CASE WHEN cluster_id >= 0 AND cluster_id % 3 = 2 THEN 'Do ' || cluster_id ELSE action_idea END AS action_idea, size
+    FROM report""",
+)
+def synthesis_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    report = themes.cluster_report(assigned(spark, sf), "feed_pos", lexicon=v.THEME_SYLLABLES)
+    cluster = F.col("cluster_id")
+    proposed = assigned(spark, sf).select("cluster_id").distinct().select(
+        cluster,
+        F.when(cluster % 3 != 0, F.when(cluster % 3 == 1, F.concat(F.lit(" Outside name "), cluster)).otherwise(" ")).alias("theme_name"),
+        F.when(cluster % 3 == 2, F.concat(F.lit("Do "), cluster)).alias("action_idea"),
+    )
+    return themes.apply_synthesis(report, proposed).drop("representative_quotes")
+
+
+@check(
+    "delivery_log",
+    f"""WITH {DAY_REPORT} SELECT DISTINCT run_date::VARCHAR AS run_date, 1::BIGINT AS digests, 1::BIGINT AS messages,
+      'Pulse' AS subject FROM numbered""",
+)
+def delivery_log(spark: SparkSession, sf: str) -> DataFrame:
+    folder = work_dir(spark)
+    report = cut_lineage(day_report(spark, sf).withColumn("run_date", F.col("run_date").cast("string")))
+    link, to, subject = F.lit("https://example.org/digest"), F.lit("team@example.org"), F.lit("Pulse")
+    # Delivered twice, as after a retry; an empty report changes nothing.
+    for rows in (report, report, report.limit(0)):
+        deliver(rows, folder, F.lit("week"), link, to, subject, v.now())
+    log = lambda name: spark.read.option("recursiveFileLookup", "false").schema(
+        "subject string, run_date string"
+    ).parquet(f"{folder}/{name}")
+    digests = log("digests").groupBy("run_date").agg(F.count("*").alias("digests"))
+    messages = log("outbox").groupBy("run_date", "subject").agg(F.count("*").alias("messages"))
+    return digests.join(messages, "run_date")

@@ -214,12 +214,13 @@ theme_rows AS (
   FROM reviews GROUP BY ALL
 )"""
 
-# Theme rows per day from the events: the event type is the theme.
+# Theme rows per day from the events: the event type is the theme.  Two of them are four times
+# as frequent on even days, so that the usual alert thresholds fire.
 EVENT_THEMES = """
 event_themes AS (
   SELECT ts::DATE AS run_date, (user_id % 7 - 1)::INT AS cluster_id,
          CASE WHEN user_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS theme_name,
-         count(*) AS size
+         sum(CASE WHEN event_type IN ('error', 'click') AND day(ts::DATE) % 2 = 0 THEN 4 ELSE 1 END)::BIGINT AS size
   FROM events GROUP BY ALL
 )"""
 
@@ -261,7 +262,8 @@ def event_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.to_date(F.col("ts").cast("timestamp")).alias("run_date"),
             (user % 7 - 1).cast("int").alias("cluster_id"),
             named.alias("theme_name"),
+            F.when(F.col("event_type").isin("error", "click") & (F.dayofmonth("ts") % 2 == 0), 4).otherwise(1).alias("n"),
         )
         .groupBy("run_date", "cluster_id", "theme_name")
-        .agg(F.count("*").alias("size"))
+        .agg(F.sum("n").alias("size"))
     )

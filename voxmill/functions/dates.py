@@ -11,8 +11,20 @@ from pyspark.sql import functions as F
 
 _ISO = (
     r"^(\d{4})(-?)(\d{2})\2(\d{2})"
-    r"(?:[Tt ](\d{2})(?::?(\d{2})(?::?(\d{2})([.,]\d+)?)?)? ?([Zz]|[+-]\d{2}(?::?\d{2})?)?)?$"
+    r"(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})([.,]\d+)?)?)? ?(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
 )
+# Steps from any form above to the one that a cast knows: dashes, colons, minutes and seconds, offset.
+_END = r"(?=$| ?[Z+-])"
+_COMPLETED = [
+    (r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3"),
+    (r"^(.{10}[T ]\d{2})(\d{2})(\d{2})", "$1:$2:$3"),
+    (rf"^(.{{10}}[T ]\d{{2}})(\d{{2}}){_END}", "$1:$2"),
+    (rf"^(.{{10}}[T ]\d{{2}}){_END}", "$1:00"),
+    (rf"^(.{{10}}[T ]\d{{2}}:\d{{2}}){_END}", "$1:00"),
+    (r"(:\d{2}(?:[.,]\d+)?) ?([+-]\d{2})$", "$1$2:00"),
+    (r"(:\d{2}(?:[.,]\d+)?) ?([+-]\d{2})(\d{2})$", "$1$2:$3"),
+    (r"(:\d{2}),(\d)", "$1.$2"),
+]
 
 
 def parse_date(text: Column) -> Column:
@@ -23,22 +35,10 @@ def parse_date(text: Column) -> Column:
     year or month alone, a time alone and zone names are no dates: the result
     never depends on the clock.
     """
-    trimmed = F.trim(text)
-    part = lambda group: F.regexp_extract(trimmed, _ISO, group)
-    two = lambda group: F.rpad(part(group), 2, "0")
-    digits = F.regexp_replace(part(9), r"[^\d]", "")
-    offset = F.when(
-        digits != "", F.concat(F.substring(part(9), 1, 1), F.substring(digits, 1, 2), F.lit(":"), _minutes(digits))
-    ).otherwise("Z")
-    whole = F.concat(
-        part(1), F.lit("-"), part(3), F.lit("-"), part(4), F.lit("T"), two(5), F.lit(":"), two(6), F.lit(":"), two(7),
-        F.replace(part(8), F.lit(","), F.lit(".")), offset,
-    )
-    return F.when(trimmed.rlike(_ISO), whole).try_cast("timestamp")
-
-
-def _minutes(digits: Column) -> Column:
-    return F.rpad(F.substring(digits, 3, 2), 2, "0")
+    told = F.regexp_extract(F.upper(F.trim(text)), _ISO, 0)
+    for pattern, form in _COMPLETED:
+        told = F.regexp_replace(told, pattern, form)
+    return told.try_cast("timestamp")
 
 
 def timeframe_seconds(text: Column, default_days: int = 7) -> Column:

@@ -254,3 +254,30 @@ def fill_synthesis_defaults(
             "action_idea": F.coalesce("action_idea", F.lit(default_action)),
         }
     )
+
+
+def apply_synthesis(report: DataFrame, proposed: DataFrame, verified: DataFrame | None = None) -> DataFrame:
+    """Names, actions and quotes that came from outside, over those of the rules.
+
+    ``proposed(cluster_id, theme_name, action_idea)`` has one row per cluster;
+    blank or missing values, missing clusters and noise keep what the rules
+    gave.  ``verified`` are the rows of ``verify_quotes``: where a cluster has
+    some, they are its quotes.
+    """
+    given = fill_synthesis_defaults(proposed, "", "").select(
+        "cluster_id",
+        F.nullif(tx.strip_space(F.col("theme_name")), F.lit("")).alias("_name"),
+        F.nullif(tx.strip_space(F.col("action_idea")), F.lit("")).alias("_action"),
+    )
+    joined = lookup_join(report, given.where(F.col("cluster_id") != NOISE), ["cluster_id"])
+    out = joined.withColumns(
+        {"theme_name": F.coalesce("_name", "theme_name"), "action_idea": F.coalesce("_action", "action_idea")}
+    )
+    if verified is not None:
+        quotes = collect_quotes(verified.withColumnRenamed("quote_no", "quote_rank")).withColumnRenamed(
+            "representative_quotes", "_quotes"
+        )
+        out = lookup_join(out, quotes, ["cluster_id"]).withColumn(
+            "representative_quotes", F.coalesce("_quotes", "representative_quotes")
+        )
+    return out.select(*report.columns)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +58,22 @@ def ingest(
     raw = cut_lineage(raw)
     cleaned = cleaning.clean(raw, lexicon, memory)
     return Ingest(raw, cleaning.anchored_window(cleaned, now, hours, anchors_from=raw))
+
+
+def land_each(sources: Mapping[str, Callable[[], DataFrame]], folder: str, batch: str) -> list[tuple[str, str | None]]:
+    """Write every source's reviews below ``<folder>/source=<name>``; a failing one stops no other.
+
+    Sources are named makers, so that reading, parsing and writing of one all
+    happen inside its own attempt.  Returns each name with its error, or None.
+    ``batch`` names the batch: landing it again replaces its rows.
+    """
+    told = []
+    for name, make in sources.items():
+        try:
+            rows = make().withColumn("batch", F.lit(batch))
+            files.write_batch(rows, f"{folder}/source={name}", "batch")
+        except (PySparkException, OSError, ValueError) as error:
+            told.append((name, str(error).splitlines()[0]))
+        else:
+            told.append((name, None))
+    return told

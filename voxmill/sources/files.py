@@ -16,6 +16,7 @@ RUN_TYPES = {
     "realtime_clusters_": "Real-Time Clusters",
     "cluster_results_": "Static Clusters",
 }
+DAMAGED = "_damaged"
 BATCH_PREFIX = "cleaned_reviews_"
 STAMP = r"(\d{8}_\d{6})"
 STAMP_FORMAT = "yyyyMMdd_HHmmss"
@@ -31,21 +32,49 @@ def read_or_empty(
 ) -> DataFrame:
     """Read with an explicit schema; a missing path gives no rows.
 
-    JSON may be an array per file; unreadable files give no rows either.
-    ``file_columns`` are text columns made from the file's ``_metadata``.
+    JSON may be an array per file.  Damaged JSON records give no rows here;
+    ``damaged_records`` has them.  ``file_columns`` are text columns made from
+    the file's ``_metadata``.
     """
     extra = file_columns or {}
+    read = schema
+    if fmt == "json":
+        read = T.StructType(schema.fields + [T.StructField(DAMAGED, T.StringType())])
+    rows = _load(spark, path, read, fmt)
+    if rows is None:
+        wide = T.StructType(schema.fields + [T.StructField(c, T.StringType()) for c in extra])
+        return spark.createDataFrame([], wide)
+    if fmt == "json":
+        rows = rows.where(F.col(DAMAGED).isNull())
+    return rows.select(*schema.names, *[made.alias(name) for name, made in extra.items()])
+
+
+def damaged_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The JSON records below ``path`` that do not fit the schema, as ``(filename, record)``.
+
+    Write them to a quarantine table, and count them there, before a batch is
+    taken for whole.
+    """
+    rows = _load(spark, path, T.StructType(schema.fields + [T.StructField(DAMAGED, T.StringType())]), "json")
+    if rows is None:
+        return spark.createDataFrame([], "filename string, record string")
+    # All columns are asked for: with the damaged text alone the reader would parse nothing.
+    found = rows.select("*", F.col("_metadata.file_name").alias("_file")).where(F.col(DAMAGED).isNotNull())
+    return found.select(F.col("_file").alias("filename"), F.col(DAMAGED).alias("record"))
+
+
+def _load(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame | None:
+    """The rows of a folder; None if there is none."""
     reader = spark.read.schema(schema).option("ignoreMissingFiles", "true")
     if fmt == "json":
-        reader = reader.option("multiLine", "true").option("mode", "DROPMALFORMED")
+        reader = reader.option("multiLine", "true").option("mode", "PERMISSIVE")
+        reader = reader.option("columnNameOfCorruptRecord", DAMAGED)
     try:
-        rows = reader.format(fmt).load(path)
+        return reader.format(fmt).load(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        wide = T.StructType(schema.fields + [T.StructField(c, T.StringType()) for c in extra])
-        return spark.createDataFrame([], wide)
-    return rows.select("*", *[made.alias(name) for name, made in extra.items()])
+        return None
 
 
 def read_reviews(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

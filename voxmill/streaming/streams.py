@@ -6,7 +6,7 @@ writers replace the folder of their batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from voxmill.functions.text import normal_name
 from voxmill.operators import cleaning
 from voxmill.operators.selection import top_per_group
+from voxmill.session import cut_lineage
 from voxmill.sources import files
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -62,13 +63,19 @@ def daily_counts(rows: DataFrame, at: str, theme: str, delay: str = "1 day") ->
     )
 
 
-def write_files(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append to a Parquet folder, exactly once, with what there is now."""
+# Take what there is now and stop; a running job passes ``{"processingTime": "1 minute"}``.
+WHAT_THERE_IS = {"availableNow": True}
+
+
+def write_files(
+    rows: DataFrame, path: str, checkpoint: str, trigger: Mapping = WHAT_THERE_IS
+) -> StreamingQuery:
+    """Append to a Parquet folder, exactly once."""
     return (
         rows.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start(path)
     )
 
@@ -78,13 +85,14 @@ def write_batches(
     write: Callable[[DataFrame, int], None],
     checkpoint: str,
     mode: str = "append",
+    trigger: Mapping = WHAT_THERE_IS,
 ) -> StreamingQuery:
-    """Hand every micro-batch to ``write``, with what there is now."""
+    """Hand every micro-batch to ``write``."""
     return (
         rows.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .outputMode(mode)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -98,6 +106,24 @@ def replace_table(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def merge_days(path: str, keys: Sequence[str], day: str = "run_date") -> Callable[[DataFrame, int], None]:
+    """Writer for update mode: a batch's rows replace those of the same keys.
+
+    Only the days that the batch touches are read and rewritten, each as a
+    folder of its own.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = cut_lineage(batch)
+        days = fresh.select(day).distinct()
+        earlier = files.read_or_empty(batch.sparkSession, path, batch.schema, "parquet")
+        rest = earlier.join(days, day, "left_semi").join(fresh, [day, *keys], "left_anti")
+        merged = cut_lineage(rest.select(*batch.columns).unionByName(fresh))
+        files.write_batch(merged, path, day)
+
+    return write
+
+
 def cap_per_source(
     path: str, limit: int, position: str, source: str = "source"
 ) -> Callable[[DataFrame, int], None]:
