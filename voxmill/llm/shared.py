@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.session import prepare
+from voxmill.session import prepare, spread
 
 # The white space of the contracts: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
@@ -33,7 +33,9 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; the texts over all cores, also if they lie in one small file."""
+    rows = bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
