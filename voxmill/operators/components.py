@@ -50,7 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        stars = cut_lineage(small)
+        stars = cut_lineage(small, replaces=stars)
         previous, state = state, _state(stars)
         if state == previous:
             break

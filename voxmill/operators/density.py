@@ -428,7 +428,7 @@ def _selectable(tree: DataFrame) -> DataFrame:
             )
             .select(*raked.columns)
         )
-        state = cut_lineage(raked.where(~chains).unionByName(merged))
+        state = cut_lineage(raked.where(~chains).unionByName(merged), replaces=state)
     below = state.groupBy(F.col("parent").alias("node")).agg(F.sum("worth").alias("_gained"))
     enough = F.col("stability") >= F.coalesce("_gained", F.lit(0.0)) * (1 - TIE)
     return state.join(below, "node", "left").select(
@@ -452,5 +452,5 @@ def _topmost(tree: DataFrame) -> DataFrame:
         moved = lookup_join(state.where(F.col("up").isNotNull()), above, ["up"]).select(
             "node", F.col("_up").alias("up"), F.coalesce("_chosen", "chosen").alias("chosen")
         )
-        state = cut_lineage(state.where(F.col("up").isNull()).unionByName(moved))
+        state = cut_lineage(state.where(F.col("up").isNull()).unionByName(moved), replaces=state)
     return state.select("node", "chosen")

@@ -104,7 +104,8 @@ def split_into_boxes(points: DataFrame, width: int, block_rows: int) -> DataFram
         boxed = cut_lineage(
             lookup_join(boxed, full, ["box"]).select(
                 "vid", "x", F.coalesce(F.col("box") * 2 + upper, "box").alias("box")
-            )
+            ),
+            replaces=boxed,
         )
 
 

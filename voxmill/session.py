@@ -64,16 +64,34 @@ def work_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="voxmill-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/voxmill-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/voxmill-{uuid.uuid4().hex}"
+    # Whatever a job leaves there goes when the application ends.
+    _files(spark, path).deleteOnExit(_path(spark, path))
+    return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system that ``path`` is on."""
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to reliable storage and go on from the written rows.
 
     Used once per round of an iterative operator, so that the plan does not
-    grow and a lost executor costs a re-read instead of a re-run.
+    grow and a lost executor costs a re-read instead of a re-run.  The round
+    before, given as ``replaces``, is deleted once the new one is written; no
+    other frame may still need it.
     """
     spark = df.sparkSession
-    path = work_dir(spark) + "/rows"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = work_dir(spark)
+    df.write.parquet(folder + "/rows")
+    written = spark.read.schema(df.schema).parquet(folder + "/rows")
+    written._folder = folder
+    if (old := getattr(replaces, "_folder", None)) is not None:
+        _files(spark, old).delete(_path(spark, old), True)
+    return written
