@@ -139,15 +139,28 @@ def reduce_dimensions(
     anything.
     """
     axes = principal_axes(rows, vector, components)
-    dense = rows.withColumn("_dense", vector_to_array(vector))
     if axes is None:
-        return dense.withColumnRenamed("_dense", point)
+        return rows.withColumn(point, vector_to_array(vector))
 
     @F.pandas_udf("array<double>")
-    def project(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(vectors.to_numpy()) @ axes))
-
-    return dense.withColumn(point, project("_dense")).drop("_dense")
+    def project(vectors: pd.DataFrame) -> pd.Series:
+        # A sparse vector comes as its few indices and values, a dense one without indices.
+        values = vectors["values"].to_numpy()
+        places = [
+            np.arange(len(v)) if i is None else np.asarray(i)
+            for i, v in zip(vectors["indices"], values, strict=True)
+        ]
+        sizes = np.array([len(i) for i in places])
+        terms = axes[np.concatenate(places).astype(int)] * np.concatenate(values)[:, None]
+        out = np.zeros((len(values), axes.shape[1]))
+        filled = np.flatnonzero(sizes)
+        if len(filled):
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[filled]
+            out[filled] = np.add.reduceat(terms, starts)
+        return pd.Series(list(out))
+
+    parts = F.unwrap_udt(F.col(vector))
+    return rows.withColumn(point, project(F.struct(parts["indices"].alias("indices"), parts["values"].alias("values"))))
 
 
 def principal_axes(rows: DataFrame, vector: str, components: int) -> np.ndarray | None:

@@ -27,11 +27,13 @@ def analyse(
     lexicon: Mapping[str, Sequence[str]] = lex.THEME_TERMS,
     noise_count: int = 2,
     noise_chars: int = 100,
+    proposed: DataFrame | None = None,
 ) -> Analysis:
     """Vectorise, reduce, cluster and name the reviews.
 
     ``embedding`` names a column of given vectors; without it the contents are
-    turned into TF-IDF vectors.
+    turned into TF-IDF vectors.  ``proposed`` may bring names and actions from
+    outside (``themes.apply_synthesis``); the rules fill what it leaves open.
     """
     kept = cleaning.clusterable(reviews).withColumn("position", F.monotonically_increasing_id())
     kept = cut_lineage(kept)  # fixes the positions
@@ -39,18 +41,20 @@ def analyse(
         with_vectors = vectors.with_vector(kept, embedding)
     else:
         with_vectors = vectors.vectorize(kept, "position", "content")
-    points = vectors.reduce_dimensions(with_vectors.select("position", "vector"))
+    # Written once: the axes take several passes over the vectors, the projection one more.
+    points = vectors.reduce_dimensions(cut_lineage(with_vectors.select("position", "vector")))
     labels = density.cluster(points.select("position", "point"), "position", min_size)
     assigned = cut_lineage(kept.join(labels, "position"))
-    report = cut_lineage(
-        themes.cluster_report(
-            assigned,
-            "position",
-            lexicon=lexicon,
-            noise_count=noise_count,
-            noise_chars=noise_chars,
-        )
+    report = themes.cluster_report(
+        assigned,
+        "position",
+        lexicon=lexicon,
+        noise_count=noise_count,
+        noise_chars=noise_chars,
     )
+    if proposed is not None:
+        report = themes.apply_synthesis(report, proposed)
+    report = cut_lineage(report)
     names = report.select("cluster_id", "theme_name")
     members = lookup_join(assigned, names, ["cluster_id"])
     return Analysis(members, report)
