@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from voxmill.checks import view as v
 from voxmill.checks.registry import check
 from voxmill.operators import density, vectors
+from voxmill.operators.spanning_tree import spanning_tree
+from voxmill.session import cut_lineage
 
 DOC_TERMS = f"""
 words AS (SELECT doc_id, unnest(regexp_extract_all(lower({v.strip_sql('text')}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents),
@@ -97,3 +99,31 @@ def fallback_halves(spark: SparkSession, sf: str) -> DataFrame:
 def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
     found = vectors.centroids(v.table(spark, sf, "embeddings"), "label", "embedding")
     return found.withColumn("value", F.round("value", 6))
+
+
+@check(
+    "spanning_tree_line",
+    """WITH points AS (SELECT min(event_id) AS vid, floor(value * 1000)::DOUBLE AS x FROM events GROUP BY x),
+    steps AS (SELECT vid, x, lag(vid) OVER (ORDER BY x) AS before, lag(x) OVER (ORDER BY x) AS below FROM points)
+    SELECT least(vid, before) AS lo, greatest(vid, before) AS hi, x - below AS w FROM steps WHERE before IS NOT NULL""",
+)
+def spanning_tree_line(spark: SparkSession, sf: str) -> DataFrame:
+    """On a line the tree joins neighbours; some eight boxes or more, as with large tables."""
+    events = v.table(spark, sf, "events")
+    place = F.floor(F.col("value") * 1000).cast("double")
+    points = events.groupBy(place.alias("_x")).agg(F.min("event_id").alias("vid")).select("vid", F.array("_x").alias("x"))
+    points = cut_lineage(points)
+    return spanning_tree(points, block_rows=points.count() // 8 + 1)
+
+
+@check(
+    "density_blocks",
+    "SELECT event_id, (event_id % 20)::INT AS cluster_id FROM events",
+)
+def density_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty evenly filled stretches far apart, in several boxes and pieces of the hierarchy."""
+    event = F.col("event_id")
+    point = F.array((event % 20 * 1_000_000 + F.floor(event / 20)).cast("double"), F.lit(0.0))
+    rows = v.table(spark, sf, "events").select(event, point.alias("point"))
+    count = rows.count()
+    return density.cluster(rows, "event_id", 5, block_rows=count // 8 + 1, piece_rows=count // 5 + 1)
