@@ -319,7 +319,7 @@ def spike_history(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("run_date", F.col("run_date").cast("string"))
 
 
-def run_files(documents: DataFrame) -> DataFrame:
+def nested_runs(documents: DataFrame) -> DataFrame:
     """A nested theme row per document, as run files hold them; every fifth has only a stored size."""
     doc = F.col("doc_id")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (doc % 28).cast("int"))
@@ -349,7 +349,7 @@ _RUN_SQL = f"""{v.REVIEWS}, named AS (
       doc_id || '-' || pos AS review_id, raw AS content FROM named WHERE doc_id % 5 <> 0""",
 )
 def run_members(spark: SparkSession, sf: str) -> DataFrame:
-    found = runs.members_of_runs(run_files(v.texts(spark, sf)))
+    found = runs.members_of_runs(nested_runs(v.texts(spark, sf)))
     return found.withColumn("run_date", F.col("run_date").cast("string"))
 
 
@@ -360,5 +360,5 @@ def run_members(spark: SparkSession, sf: str) -> DataFrame:
     FROM named GROUP BY filename, run_day, doc_id, theme""",
 )
 def run_theme_rows(spark: SparkSession, sf: str) -> DataFrame:
-    found = runs.theme_rows_of_runs(run_files(v.texts(spark, sf))).drop("position")
+    found = runs.theme_rows_of_runs(nested_runs(v.texts(spark, sf))).drop("position")
     return found.withColumn("run_date", F.col("run_date").cast("string"))
