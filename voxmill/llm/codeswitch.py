@@ -47,15 +47,21 @@ def held_out(doc_id: str = "id"):
 
 
 def features(word: str, lexicons: dict[str, list[int]]) -> list[int]:
-    """Buckets of a lower-case word: affixes, n-grams, the word, and the lexicons it is in."""
-    marked = f"<{word}>"
-    named = {f"w{word}"}
+    """Buckets of a lower-case word: affixes, n-grams, the word, and the lexicons it is in.
+
+    The word is encoded once, four bytes a character; its slices are hashed
+    with a seed for each kind of feature.
+    """
+    marked = f"<{word}>".encode("utf-32-le")
+    inner, end = marked[4:-4], len(marked)
+    found = {zlib.crc32(marked, 1)}
     for size in (1, 2, 3):
-        named.add(f"p{word[:size]}")
-        named.add(f"s{word[-size:]}")
-        named.update(f"g{marked[k : k + size + 1]}" for k in range(len(marked) - size))
-    named.update(f"l{label}" for label in lexicons.get(word, ()))
-    return sorted({zlib.crc32(name.encode()) % BUCKETS for name in named})
+        found.add(zlib.crc32(inner[: 4 * size], 10 + size))
+        found.add(zlib.crc32(inner[-4 * size :], 20 + size))
+        wide = 4 * (size + 1)
+        found.update([zlib.crc32(marked[k : k + wide], 30) for k in range(0, end - wide + 1, 4)])
+    found.update(zlib.crc32(b"lexicon", 100 + label) for label in lexicons.get(word, ()))
+    return sorted({value % BUCKETS for value in found})
 
 
 def words_of(text: str) -> list[str]:
