@@ -45,7 +45,7 @@ MEMO_WORDS = 300_000  # hashes a worker remembers
 SLICE = 8_192  # shingles hashed at once
 
 _PACKED = [f"p{i}" for i in range(COORDINATES // 8)]
-_SIGNED = "id long, node binary, n long, sig array<int>"
+_SIGNED = "id long, key binary, node binary, n long, sig array<int>"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -99,18 +99,19 @@ def _signer(size: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, counts, sigs = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column("text").to_pylist():
                 shingles = shingle_set(text, size)
                 counts.append(len(shingles))
                 nodes.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
                 sigs.append(signature(shingles) if len(shingles) else None)
             columns = [
-                batch.column(0),
+                batch.column("id"),
+                batch.column("key"),
                 pa.array(nodes, pa.binary()),
                 pa.array(counts, pa.int64()),
                 pa.array(sigs, pa.list_(pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "n", "sig"])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "node", "n", "sig"])
 
     return sign
 
@@ -344,19 +345,15 @@ def confirmed_links(texts: DataFrame, nodes: DataFrame, groups: DataFrame, size:
     )
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+def _text_key(text: Column) -> Column:
+    """Digest of a text; a null text counts as an empty one."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
-    Linked are two documents whose sets of runs of ``words`` words have
-    ``100 * shared >= similarity * united``.  ``component_id`` is the smallest
-    id of a component; ``kept`` marks the document of that id.  A document
-    without words or text has an empty set and is linked with nothing.  Rows
-    that repeat an id are documents of their own (all carry ``kept`` if it is
-    the smallest); a null id is larger than any other, and a component of null
-    ids only has a null ``component_id`` and keeps them.
-    """
+
+def _found(documents: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Rows ``(id, key, n, root, component_id)``, one per document; no root for an empty set."""
     texts = only(documents, id="doc_id", text="text").select(
-        F.col("id").cast("long"), F.col("text").cast("string").cast("binary")
+        F.col("id").cast("long"), _text_key(F.col("text")).alias("key"), F.col("text").cast("string").cast("binary")
     )
     signed = cut_lineage(texts.mapInArrow(_signer(words), _SIGNED))
     nodes = cut_lineage(
@@ -369,31 +366,59 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: int = 80)
     rooted = nodes.select("node", "id").join(linked, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("node", "component_id")
-    found = signed.select("id", "n", "node").join(named, "node", "left")
+    named = rooted.join(smallest, "root").select("node", "root", "component_id")
+    found = signed.select("id", "key", "n", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return found.select(
+    return found.select("id", "key", "n", "root", component.alias("component_id"))
+
+
+def near_duplicates(documents: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+
+    Linked are two documents whose sets of runs of ``words`` words have
+    ``100 * shared >= similarity * united``.  ``component_id`` is the smallest
+    id of a component; ``kept`` marks the document of that id.  A document
+    without words or text has an empty set and is linked with nothing.  Rows
+    that repeat an id are documents of their own (all carry ``kept`` if it is
+    the smallest); a null id is larger than any other, and a component of null
+    ids only has a null ``component_id`` and keeps them.
+    """
+    return _found(documents, words, similarity).select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
+        "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
 
 
 def keep_one_each(documents: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
     """One document of each component, with its own columns: that of the smallest id.
 
-    Rows that repeat an id leave the one with the smallest text (then the
-    smallest other columns).  Rows without an id stand and fall together, and
-    count as repeated.
+    A null id is larger than any other.  Of several rows of a component with
+    its smallest id, the one with the smallest text stays (then the smallest
+    other columns).  Rows of different components never fall together, whatever
+    their ids; rows without words are linked with nothing and all stay.
     """
-    found = near_duplicates(documents, words, similarity).where("kept").select(F.col("doc_id").alias("_kept"))
-    found = found.distinct()
-    rows = documents.join(found, documents["doc_id"].eqNullSafe(found["_kept"]), "left_semi")
-    again = documents.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1)
-    if again.isEmpty():
-        return rows
-    rest = [name for name in documents.columns if name not in ("doc_id", "text")]
-    first = F.min(F.struct("text", *(F.col(f"`{name}`") for name in rest))).alias("_first")
-    columns = (F.col(f"`{name}`") for name in documents.columns)
-    return rows.groupBy("doc_id").agg(first).select("doc_id", "_first.*").select(*columns)
+    found = _found(documents, words, similarity)
+    first = found.where(F.col("id").eqNullSafe(F.col("component_id")))
+    firsts = cut_lineage(first.groupBy("id", "key", "root").agg(F.count("*").alias("rows")))
+    counts = firsts.where("root IS NOT NULL").groupBy("root").agg(F.sum("rows").alias("rows")).where("rows > 1")
+    repeated = cut_lineage(counts.select("root"))
+
+    whole = documents.select(F.struct(*(F.col(f"`{name}`") for name in documents.columns)).alias("row"))
+    keyed = whole.select("row", F.col("row.doc_id").cast("long").alias("id"), _text_key(F.col("row.text")).alias("key"))
+    same = F.col("d.id").eqNullSafe(F.col("f.id")) & (F.col("d.key") == F.col("f.key"))
+    if repeated.isEmpty():
+        return keyed.alias("d").join(firsts.alias("f"), same, "left_semi").select("row.*")
+    alone = firsts.join(repeated, "root", "left_anti")
+    again = firsts.join(repeated, "root", "left_semi")
+    order = ["text", *(name for name in documents.columns if name != "text")]
+    least = F.min(F.struct(*(F.col(f"row.`{name}`").alias(name) for name in order))).alias("row")
+    chosen = keyed.alias("d").join(again.alias("f"), same).groupBy("f.root").agg(least)
+    columns = (F.col(f"row.`{name}`").alias(name) for name in documents.columns)
+    return (
+        keyed.alias("d")
+        .join(alone.alias("f"), same, "left_semi")
+        .select("row.*")
+        .unionByName(chosen.select(*columns))
+    )
