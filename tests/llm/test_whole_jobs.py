@@ -25,3 +25,19 @@ def test_only_rows_of_one_component_fall_together(spark):
     found = [(r.doc_id, r.text) for r in neardup.keep_one_each(table, words=2).collect()]
     expected = set(rows) - {(5, _copy({59: "x"}))}
     assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
+def test_rows_without_an_id_are_linked(spark):
+    """Alone with each other, and as the middle of a chain of documents with ids."""
+    other = [f"v{k}" for k in range(60)]
+    rows = [
+        (9, BASE_TEXT), (None, _copy({3: "x", 9: "x"})), (4, _copy({3: "x", 9: "x", 30: "y", 40: "y"})),
+        (None, " ".join(other)), (None, " ".join([*other, "z"])), (None, " ".join([*other, "z"])),
+        (6, "a row that is like no other"),
+    ]
+    table = bounded_batches(spark).createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(table, 2).collect()), key=repr)
+    assert found == sorted(
+        [(9, 4, False), (None, 4, False), (4, 4, True), *[(None, None, True)] * 3, (6, 6, True)], key=repr
+    )
+    assert len(neardup.keep_one_each(table, 2).where("doc_id IS NULL").collect()) == 1

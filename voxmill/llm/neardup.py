@@ -46,6 +46,7 @@ SLICE = 8_192  # shingles hashed at once
 
 _PACKED = [f"p{i}" for i in range(COORDINATES // 8)]
 _SIGNED = "id long, key binary, node binary, n long, sig array<int>"
+_NONE = np.empty(0, np.uint64)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -75,7 +76,7 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     """
     words = text.lower().split() if text else []
     if not words:
-        return np.empty(0, np.uint64)
+        return _NONE
     hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     runs = max(1, len(words) - size + 1)
     mixed = np.full(runs, min(size, len(words)), np.uint64)
@@ -118,14 +119,16 @@ def _signer(size: int):
 
 def _set_maker(size: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sets of the rows whose text is the node's own, not just of the same id."""
+        """The sets of the nodes, each once a task however many rows repeat its id and text."""
+        seen = set()
         for batch in batches:
             rest = batch.select([name for name in batch.schema.names if name != "text"])
-            sets = [shingle_set(text, size) for text in batch.column("text").to_pylist()]
-            own = [
-                xxhash.xxh3_128_digest(s.tobytes()) == node
-                for s, node in zip(sets, batch.column("node").to_pylist(), strict=True)
-            ]
+            sets, own = [], []
+            for text, node in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist(), strict=True):
+                sets.append(_NONE if node in seen else shingle_set(text, size))
+                own.append(node not in seen and xxhash.xxh3_128_digest(sets[-1].tobytes()) == node)
+                if own[-1]:
+                    seen.add(node)
             made = rest.append_column("shingles", pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())))
             yield made.filter(pa.array(own, pa.bool_()))
 
@@ -287,17 +290,14 @@ def _linker(similarity: int):
 
 def confirmed_links(texts: DataFrame, nodes: DataFrame, groups: DataFrame, size: int, similarity: int) -> DataFrame:
     """Rows ``(a, b)``: links on full sets that connect what any such links connect."""
-    placed = nodes.join(groups, "node").select("id", "node", "n", "grp", *_packed(F.col("sig")))
+    placed = nodes.join(groups, "node").select("id", "key", "node", "n", "grp", *_packed(F.col("sig")))
     shapes = placed.groupBy("grp").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = placed.join(shapes.select("grp", blocks.alias("blocks")), "grp")
-    joined = texts.join(placed, "id")
-    fields = [f.simpleString().replace(":", " ", 1) for f in placed.schema.fields]
-    sets = cut_lineage(
-        joined.select("text", *placed.columns).mapInArrow(
-            _set_maker(size), ", ".join([*fields, "shingles array<long>"])
-        )
-    )
+    same = F.col("t.id").eqNullSafe(F.col("p.id")) & (F.col("t.key") == F.col("p.key"))
+    joined = texts.alias("t").join(placed.alias("p"), same).select("t.text", "p.*").drop("id", "key")
+    fields = [f.simpleString().replace(":", " ", 1) for f in joined.schema.fields if f.name != "text"]
+    sets = cut_lineage(joined.mapInArrow(_set_maker(size), ", ".join([*fields, "shingles array<long>"])))
 
     # Groups of many blocks: one hub each takes in what is linked with it.
     large = sets.where("blocks > 1")
@@ -359,7 +359,12 @@ def _found(documents: DataFrame, words: int, similarity: int) -> DataFrame:
     nodes = cut_lineage(
         signed.where(F.col("node").isNotNull())
         .groupBy("node")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        .agg(
+            F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "key")).alias("row"),
+            F.first("n").alias("n"),
+            F.first("sig").alias("sig"),
+        )
+        .select("row.id", "row.key", "node", "n", "sig")
     )
     links = cut_lineage(confirmed_links(texts, nodes, loose_groups(nodes), words, similarity))
     linked = components(links).toDF("node", "root")
