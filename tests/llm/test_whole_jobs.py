@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxmill.llm import neardup
+from voxmill.llm import neardup, urllists
 from voxmill.llm.shared import bounded_batches
 
 BASE = [f"w{k}" for k in range(60)]
@@ -41,3 +41,13 @@ def test_rows_without_an_id_are_linked(spark):
         [(9, 4, False), (None, 4, False), (4, 4, True), *[(None, None, True)] * 3, (6, 6, True)], key=repr
     )
     assert len(neardup.keep_one_each(table, 2).where("doc_id IS NULL").collect()) == 1
+
+
+def test_hosts_of_many_labels_and_top_level_domains(spark):
+    host = "a.b.c.d.e.f.g.h.i.example"
+    urls = [(1, f"http://{host}/x"), (2, f"http://z.{host}/"), (3, "http://b.c.d.e.f.g.h.i.example/"), (4, "http://y.bad/"), (5, "http://bad/")]
+    captures = spark.createDataFrame([(*row, 5) for row in urls], "page_id long, url string, fetched int")
+    events = [("l", host, "add", 3), ("l", "bad", "add", 3)]
+    listed = spark.createDataFrame(events, "list string, pattern string, action string, day int")
+    found = {r.page_id: r.pattern for r in urllists.evaluate(captures, urllists.validity(listed)).collect()}
+    assert found == {1: host, 2: host, 3: None, 4: "bad", 5: "bad"}

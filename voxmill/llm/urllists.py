@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from voxmill.llm.shared import only
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
-MAX_LABELS = 8  # patterns are hosts of at most so many labels
 
 
 def host_of(url: Column) -> Column:
@@ -26,8 +25,7 @@ def host_of(url: Column) -> Column:
 def patterns_of(host: Column) -> Column:
     """The host and its parent domains of two labels and more (a one-label host itself)."""
     labels = F.split(host, r"\.")
-    longest = F.least(F.size(labels), F.lit(MAX_LABELS))
-    sizes = F.sequence(F.least(F.lit(2), longest), longest)
+    sizes = F.sequence(F.least(F.lit(2), F.size(labels)), F.size(labels))
     return F.transform(sizes, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
 
 
@@ -61,6 +59,8 @@ def validity(events: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, intervals: DataFrame) -> DataFrame:
     """One row per distinct capture ``(page_id, url, fetched)`` with the entry that decides.
 
+    A capture is looked up under every suffix of its host, however many labels
+    that has, down to the top-level domain.
     Of the active entries the longest pattern wins, then the latest start,
     then the smallest list name.  A capture without an active entry, without a
     fetch day or without a host has nulls and is not ``blocked``.  The lookup
@@ -72,7 +72,12 @@ def evaluate(captures: DataFrame, intervals: DataFrame) -> DataFrame:
     active = (F.col("fetched") >= F.col("valid_from")) & (
         F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))
     )
-    met = spread.join(intervals, "pattern").where(active)
+    # Top-level domains apart: they are hot keys, but a list has few of them.
+    labels = F.split("host", r"\.")
+    tops = rows.where(F.size(labels) > 1).select("page_id", "url", "fetched", F.element_at(labels, -1).alias("pattern"))
+    met = spread.join(intervals, "pattern").unionByName(
+        tops.join(intervals.where(~F.contains("pattern", F.lit("."))), "pattern")
+    ).where(active)
     rank = F.struct(
         F.length("pattern").alias("size"),
         F.col("valid_from"),
