@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import chat, codeswitch, credentials, decontam, neardup, notices, packing, quality, token_counts, urllists
+from voxmill.llm import (
+    byte_pairs,
+    chat,
+    codeswitch,
+    credentials,
+    decontam,
+    neardup,
+    notices,
+    packing,
+    quality,
+    token_counts,
+    urllists,
+    whitening,
+)
 from voxmill.llm.shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,3 +242,14 @@ FROM pages_ p LEFT JOIN (SELECT * FROM met WHERE k = 1) m ON p.page_id = m.page_
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return urllists.evaluate(page_captures(pages), urllists.validity(list_events(pages)))
+
+
+@query("op12_distinct_word_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.digests(byte_pairs.encode(read_table(spark, sf_dir, "documents")))
+
+
+@query("op11_contour_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", whitening.as_long(F.col("deviation")))
