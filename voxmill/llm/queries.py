@@ -18,6 +18,7 @@ from voxmill.llm import (
     packing,
     quality,
     token_counts,
+    turn_repair,
     urllists,
     whitening,
 )
@@ -253,3 +254,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
     return found.withColumn("deviation", whitening.as_long(F.col("deviation")))
+
+
+@query("op13_turn_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(read_table(spark, sf_dir, "conversations"))
