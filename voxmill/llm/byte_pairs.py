@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import xxhash
@@ -39,11 +40,12 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK_BYTES = 32 << 20  # text of one block; a longer text is a block of its own
 LONG_TEXT = 1 << 20  # characters from which a text's words are taken in slices
 SLICE_WORDS = 200_000
-OUT_ROWS = 10_000
+REPLY_WORDS = 200_000  # words of one task that are sent back together
+OUT_ROWS = 500
 
-_FRAMES = "block long, doc_ids array<long>, word_counts array<int>, codes binary, n_words int"
+_FRAMES = "block long, doc_ids array<long>, word_counts array<int>, n_codes int, codes binary, n_words int"
 _WORDS = "block long, words array<string>"
-_REPLIES = "block long, no int, ids binary"
+_REPLIES = "block long, nos binary, lengths binary, ids binary"
 _ENCODED = "doc_id long, ids array<int>"
 
 
@@ -73,6 +75,17 @@ def _codes(text: str, words: regex.Pattern, numbers: _Numbers) -> np.ndarray:
     return np.concatenate([*parts, np.array(some, np.uint32)])
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes by byte plane, compressed: the upper planes are nearly constant."""
+    planes = np.ascontiguousarray(codes.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * count, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, count).T).view(np.uint32).ravel()
+
+
 def _splitter(pattern: str, block_bytes: int, frames: bool):
     """Blocks of texts as their numbered words (``frames``), or the words of each block."""
 
@@ -98,10 +111,12 @@ def _splitter(pattern: str, block_bytes: int, frames: bool):
                 key,
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([[len(c) for c in codes]], pa.list_(pa.int32())),
-                pa.array([np.concatenate(codes).tobytes()], pa.binary()),
+                pa.array([sum(map(len, codes))], pa.int32()),
+                pa.array([_packed(np.concatenate(codes))], pa.binary()),
                 pa.array([len(numbers)], pa.int32()),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "word_counts", "codes", "n_words"])
+            names = ["block", "doc_ids", "word_counts", "n_codes", "codes", "n_words"]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -124,46 +139,80 @@ def _splitter(pattern: str, block_bytes: int, frames: bool):
 def _encoder(path: str, pattern: str):
     """Ids of each word of rows sorted by word; a word is encoded when it first comes."""
 
+    def replies(words: list[bytes], blocks: list[np.ndarray], nos: list[np.ndarray], size: int) -> pa.RecordBatch:
+        """One row per block: the numbers of its words, how many ids each has, and the ids."""
+        block, no = np.concatenate(blocks), np.concatenate(nos)
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        starts = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+        rows = []
+        for start, end in zip(starts, [*starts[1:], len(block)], strict=True):
+            places = order[start:end]
+            found = [words[k] for k in places]
+            lengths = np.array([len(ids) // size for ids in found])
+            lengths = lengths.astype(np.min_scalar_type(int(lengths.max())))
+            rows.append((int(block[start]), no[places].tobytes(), lengths.tobytes(), b"".join(found)))
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        columns = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(columns, ["block", "nos", "lengths", "ids"])
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+        ranks = read_ranks(path)
+        kind = np.min_scalar_type(max(ranks.values()))
+        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         last, packed = None, b""
+        words, blocks, nos = [], [], []
         for batch in batches:
-            replies = []
             for word in batch.column(0).to_pylist():
                 if word != last:
-                    last, packed = word, np.array(encoding._encode_single_piece(word), np.int32).tobytes()
-                replies.append(packed)
-            columns = [batch.column(1), batch.column(2), pa.array(replies, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "no", "ids"])
+                    last, packed = word, np.array(encoding._encode_single_piece(word), kind).tobytes()
+                words.append(packed)
+            blocks.append(batch.column(1).to_numpy())
+            nos.append(batch.column(2).to_numpy())
+            if len(words) >= REPLY_WORDS:
+                yield replies(words, blocks, nos, kind.itemsize)
+                words, blocks, nos = [], [], []
+        if words:
+            yield replies(words, blocks, nos, kind.itemsize)
 
     return encode
 
 
+def _ids_by_number(replies: pa.Table, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the ids of each word number start, how many they are, and all ids."""
+    nos, lengths, ids = [], [], []
+    for no, long, found in zip(*(replies.column(name).to_pylist() for name in ("nos", "lengths", "ids")), strict=True):
+        nos.append(np.frombuffer(no, np.int32))
+        lengths.append(np.frombuffer(long, f"u{len(long) // len(nos[-1])}").astype(np.int64))
+        ids.append(np.frombuffer(found, f"u{len(found) // int(lengths[-1].sum())}"))
+    no = np.concatenate([np.empty(0, np.int32), *nos])
+    if len(no) != count or len(np.unique(no)) != count:
+        raise RuntimeError("a block came with the words of another run: the rows' order must not change between reads")
+    long = np.concatenate([np.empty(0, np.int64), *lengths])
+    starts, sizes = np.empty(count, np.int64), np.empty(count, np.int64)
+    starts[no], sizes[no] = np.cumsum(long) - long, long
+    return starts, sizes, np.concatenate([np.empty(0, np.uint8), *ids])
+
+
 def _reassemble(frame: pa.Table, replies: pa.Table) -> pa.Table:
     """The ids of a block's texts: those of each word, in the places of the word."""
-    count = sum(frame.column("n_words").to_pylist())
-    if frame.num_rows != 1 or replies.num_rows != count:
-        raise RuntimeError("a block came with the words of another run: the rows' order must not change between reads")
-    order = np.argsort(replies.column("no").to_numpy())
-    packed = replies.column("ids").take(pa.array(order)).to_pylist()
-    lengths = np.array([len(p) // 4 for p in packed], np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    flat = np.frombuffer(b"".join(packed), np.int32)
-    codes = np.frombuffer(frame.column("codes")[0].as_py(), np.uint32)
-    found, sizes, at = [], [0], 0
-    for n in frame.column("word_counts")[0].as_py():
-        words = codes[at : at + n]
-        at += n
-        long = lengths[words]
-        ends = np.cumsum(long)
-        total = int(ends[-1]) if n else 0
-        found.append(flat[np.repeat(starts[words] - (ends - long), long) + np.arange(total)])
-        sizes.append(total)
-    offsets = np.cumsum(sizes)
-    values = np.concatenate(found) if found else np.empty(0, np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-    doc_ids = pa.array(frame.column("doc_ids")[0].as_py(), pa.int64())
-    rows = pa.Table.from_arrays([doc_ids, ids], ["doc_id", "ids"])
+    if frame.num_rows != 1:
+        raise RuntimeError(f"{frame.num_rows} frames for a block: the rows' order must not change between reads")
+    told = frame.to_pylist()[0]
+    starts, sizes, flat = _ids_by_number(replies, told["n_words"])
+    codes = _unpacked(told["codes"], told["n_codes"])
+    counts = np.array(told["word_counts"], np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes[codes])])[np.concatenate([[0], np.cumsum(counts)])]
+    values = np.empty(ends[-1], np.int32)
+    at = 0
+    for row, count in enumerate(counts.tolist()):
+        words = codes[at : at + count]
+        at += count
+        after = np.cumsum(sizes[words])
+        places = np.repeat(starts[words] - (after - sizes[words]), sizes[words])
+        values[ends[row] : ends[row + 1]] = flat[places + np.arange(len(places))]
+    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+    rows = pa.Table.from_arrays([pa.array(told["doc_ids"], pa.int64()), ids], ["doc_id", "ids"])
     return pa.Table.from_batches(rows.to_batches(max_chunksize=OUT_ROWS))
 
 
@@ -211,8 +260,8 @@ def _joined(ids: pa.ListArray, table: pa.Array) -> Iterator[memoryview]:
         if values is None or len(values) == 0:
             yield memoryview(b"")
             continue
-        found = table.take(values)
-        if found.null_count:
+        bounds = pc.min_max(values).as_py()
+        if bounds["min"] < 0 or bounds["max"] >= len(table) or (found := table.take(values)).null_count:
             raise ValueError("an id has no token")
         offsets = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1 + found.offset)
         yield memoryview(found.buffers()[2])[offsets[found.offset] : offsets[-1]]

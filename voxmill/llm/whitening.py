@@ -54,7 +54,9 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     fits = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * SCALE) < LIMIT))
     whole = F.transform("v", lambda c: F.floor(c * SCALE).cast("long") + SHIFT)
     rows = only(vectors, vec_id=vec_id, v=embedding).withColumn("v", values)
-    return rows.where(F.col("v").isNotNull() & (F.size("v") > 0) & fits).select(F.col("vec_id").cast("long"), whole.alias("v"))
+    # A condition of the value itself: filters may be moved, and large entries would overflow.
+    kept = F.when((F.size("v") > 0) & fits, whole)
+    return rows.select(F.col("vec_id").cast("long"), kept.alias("v")).where(F.col("v").isNotNull())
 
 
 def _matrix(column: pa.ListArray, width: int, kind=np.int64) -> np.ndarray:
