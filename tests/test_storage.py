@@ -9,8 +9,10 @@ import pytest
 from voxmill import schemas
 from voxmill.operators.components import components
 from voxmill.plans import ingest
-from voxmill.session import cut_lineage
+from voxmill.operators import density
+from voxmill.session import cut_lineage, scratch
 from voxmill.sources import files
+from voxmill.streaming import streams
 
 
 def _folders(spark):
@@ -29,6 +31,41 @@ def test_rounds_replace_each_other(spark):
         spark.read.parquet(first._folder + "/rows").count()
 
 
+def test_only_what_is_handed_over_outlives_a_block(spark):
+    before = _folders(spark)
+    with scratch(spark) as hand_over:
+        inner = cut_lineage(spark.range(5))
+        with scratch(spark) as deeper:
+            kept = deeper(cut_lineage(inner.where("id > 1")))
+        result = hand_over(kept.where("id > 2"))
+        assert kept.count() == 3
+    assert sorted(r.id for r in result.collect()) == [3, 4]
+    assert len(_folders(spark) - before) == 1
+    with pytest.raises(ValueError), scratch(spark):
+        cut_lineage(spark.range(5))
+        raise ValueError
+    assert len(_folders(spark) - before) == 1
+
+
+def test_clusters_leave_one_table(spark):
+    before = _folders(spark)
+    points = spark.range(60).selectExpr("id", "array(id % 3 * 100.0 + id / 60, id * 0.01) AS point")
+    labels = density.cluster(points, "id", 5, block_rows=20, piece_rows=10)
+    assert labels.select("cluster_id").distinct().count() == 3
+    assert len(_folders(spark) - before) == 1
+
+
+def test_micro_batches_leave_nothing(spark, tmp_path):
+    before = _folders(spark)
+    write = streams.merge_days(str(tmp_path / "days"), ["norm_name"])
+    for batch in range(10):
+        rows = [("2024-01-01", "a", batch), ("2024-01-02", f"b{batch}", 1)]
+        write(spark.createDataFrame(rows, "run_date string, norm_name string, size long"), batch)
+    assert _folders(spark) == before
+    found = spark.read.parquet(str(tmp_path / "days"))
+    assert found.count() == 11 and found.where("norm_name = 'a'").first().size == 9
+
+
 def test_damaged_records_are_kept_apart(spark, tmp_path):
     (tmp_path / "good.json").write_text('[{"id": "card_1", "title": "t"}, {"id": "card_2"}]')
     (tmp_path / "bad.json").write_text('[{"id": "card_3", ')

@@ -22,7 +22,7 @@ from voxmill.operators.components import components
 from voxmill.operators.joins import lookup_join
 from voxmill.operators.selection import numbered
 from voxmill.operators.spanning_tree import BLOCK_ROWS, spanning_tree
-from voxmill.session import cut_lineage, ship_with_tasks
+from voxmill.session import cut_lineage, scratch, ship_with_tasks
 
 # Sums of stabilities depend on their order in the last digits: a cluster that reaches the sum of
 # its parts but for this share counts as equal, in one task and in joins alike.
@@ -52,6 +52,13 @@ def cluster(
     The smallest cluster has ``max(2, min(min_size, rows))`` rows.  If nothing
     clusters, the rows are split in two halves; a single row is cluster 0.
     """
+    with scratch(points.sparkSession) as hand_over:
+        return hand_over(_clustered(points, row_id, min_size, point, block_rows, piece_rows))
+
+
+def _clustered(
+    points: DataFrame, row_id: str, min_size: int, point: str, block_rows: int, piece_rows: int
+) -> DataFrame:
     rows = cut_lineage(points.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(point).alias("x")))
     total = rows.count()
     if total < 2:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -116,7 +117,8 @@ def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     placed = cut_lineage(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
     task, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted(placed.groupBy(task.alias("task")).agg(F.count("*").alias("rows")).collect())
-    starts = [(number, sum(row["rows"] for row in counts[:k])) for k, (number, _) in enumerate(counts)]
+    ends = accumulate(row["rows"] for row in counts)
+    starts = [(number, end - rows) for (number, rows), end in zip(counts, ends, strict=True)]
     before = rows.sparkSession.createDataFrame(starts, "_task bigint, _start bigint")
     joined = placed.withColumn("_task", task).join(F.broadcast(before), "_task")
     return joined.withColumn(name, F.col("_start") + place).drop("_at", "_task", "_start")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from voxmill.functions import lexicons as lex
 from voxmill.operators import cleaning, density, themes, vectors
 from voxmill.operators.joins import lookup_join
-from voxmill.session import cut_lineage
+from voxmill.session import cut_lineage, scratch
 
 
 @dataclass
@@ -35,16 +35,17 @@ def analyse(
     turned into TF-IDF vectors.  ``proposed`` may bring names and actions from
     outside (``themes.apply_synthesis``); the rules fill what it leaves open.
     """
-    kept = cleaning.clusterable(reviews).withColumn("position", F.monotonically_increasing_id())
-    kept = cut_lineage(kept)  # fixes the positions
-    if embedding:
-        with_vectors = vectors.with_vector(kept, embedding)
-    else:
-        with_vectors = vectors.vectorize(kept, "position", "content")
-    # Written once: the axes take several passes over the vectors, the projection one more.
-    points = vectors.reduce_dimensions(cut_lineage(with_vectors.select("position", "vector")))
-    labels = density.cluster(points.select("position", "point"), "position", min_size)
-    assigned = cut_lineage(kept.join(labels, "position"))
+    with scratch(reviews.sparkSession) as hand_over:
+        kept = cleaning.clusterable(reviews).withColumn("position", F.monotonically_increasing_id())
+        kept = cut_lineage(kept)  # fixes the positions
+        if embedding:
+            with_vectors = vectors.with_vector(kept, embedding)
+        else:
+            with_vectors = vectors.vectorize(kept, "position", "content")
+        # Written once: the axes take several passes over the vectors, the projection one more.
+        points = vectors.reduce_dimensions(cut_lineage(with_vectors.select("position", "vector")))
+        labels = density.cluster(points.select("position", "point"), "position", min_size)
+        assigned = hand_over(kept.join(labels, "position"))
     report = themes.cluster_report(
         assigned,
         "position",

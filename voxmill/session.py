@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -79,19 +82,79 @@ def _files(spark: SparkSession, path: str):
     return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+# The folders written in each open ``scratch`` of this thread.
+_OPEN = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_OPEN, "scopes"):
+        _OPEN.scopes = []
+    return _OPEN.scopes
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    _files(spark, folder).delete(_path(spark, folder), True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Free what ``cut_lineage`` writes inside, at the end or after an error.
+
+    Gives a function that hands a frame over to what surrounds the block: it is
+    written once and lives until the surrounding ``scratch`` ends, or the
+    application.  No other frame of the block may be read after it.
+    """
+    scopes = _scopes()
+    folders: list[str] = []
+    scopes.append(folders)
+
+    def hand_over(df: DataFrame) -> DataFrame:
+        written = _written(df)
+        if len(scopes) > 1:
+            scopes[-2].append(written._folder)
+        return written
+
+    try:
+        yield hand_over
+    finally:
+        scopes.remove(folders)
+        for folder in folders:
+            _delete(spark, folder)
+
+
+# Nothing reads the shuffles of a frame again once its rows are written.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    folder = work_dir(spark)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(folder + "/rows")
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+    written = spark.read.schema(df.schema).parquet(folder + "/rows")
+    written._folder = folder
+    return written
+
+
 def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to reliable storage and go on from the written rows.
 
     Used once per round of an iterative operator, so that the plan does not
     grow and a lost executor costs a re-read instead of a re-run.  The round
     before, given as ``replaces``, is deleted once the new one is written; no
-    other frame may still need it.
+    other frame may still need it.  Inside a ``scratch`` the rows go with it.
     """
     spark = df.sparkSession
-    folder = work_dir(spark)
-    df.write.parquet(folder + "/rows")
-    written = spark.read.schema(df.schema).parquet(folder + "/rows")
-    written._folder = folder
+    written = _written(df)
+    if scopes := _scopes():
+        scopes[-1].append(written._folder)
     if (old := getattr(replaces, "_folder", None)) is not None:
-        _files(spark, old).delete(_path(spark, old), True)
+        _delete(spark, old)
+        for folders in _scopes():
+            if old in folders:
+                folders.remove(old)
     return written

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from voxmill.functions.text import normal_name
 from voxmill.operators import cleaning
 from voxmill.operators.selection import top_per_group
-from voxmill.session import cut_lineage
+from voxmill.session import cut_lineage, scratch
 from voxmill.sources import files
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -114,12 +114,13 @@ def merge_days(path: str, keys: Sequence[str], day: str = "run_date") -> Callabl
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = cut_lineage(batch)
-        days = fresh.select(day).distinct()
-        earlier = files.read_or_empty(batch.sparkSession, path, batch.schema, "parquet")
-        rest = earlier.join(days, day, "left_semi").join(fresh, [day, *keys], "left_anti")
-        merged = cut_lineage(rest.select(*batch.columns).unionByName(fresh))
-        files.write_batch(merged, path, day)
+        with scratch(batch.sparkSession):
+            fresh = cut_lineage(batch)
+            days = fresh.select(day).distinct()
+            earlier = files.read_or_empty(batch.sparkSession, path, batch.schema, "parquet")
+            rest = earlier.join(days, day, "left_semi").join(fresh, [day, *keys], "left_anti")
+            merged = cut_lineage(rest.select(*batch.columns).unionByName(fresh))
+            files.write_batch(merged, path, day)
 
     return write
 
@@ -169,7 +170,8 @@ def keep_and_report(
         files.write_batch(batch.withColumn("batch_id", F.lit(batch_id)), rows_path)
         kept = batch.sparkSession.read.parquet(rows_path).where(F.col("batch_id") <= batch_id)
         kept = kept.select(*batch.columns)
-        found = report(retain(kept) if retain else kept)
-        files.write_batch(found.withColumn("batch_id", F.lit(batch_id)), report_path)
+        with scratch(batch.sparkSession):
+            found = report(retain(kept) if retain else kept)
+            files.write_batch(found.withColumn("batch_id", F.lit(batch_id)), report_path)
 
     return write
