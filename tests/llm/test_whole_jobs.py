@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from voxmill.llm import neardup, urllists
 from voxmill.llm.shared import bounded_batches
 
@@ -51,3 +53,19 @@ def test_hosts_of_many_labels_and_top_level_domains(spark):
     listed = spark.createDataFrame(events, "list string, pattern string, action string, day int")
     found = {r.page_id: r.pattern for r in urllists.evaluate(captures, urllists.validity(listed)).collect()}
     assert found == {1: host, 2: host, 3: None, 4: "bad", 5: "bad"}
+
+
+def test_rows_with_map_columns(spark):
+    """Two rows of one component that share the smallest id, beside a column that has no order."""
+    rows = [(1, BASE_TEXT, {"k": 2}), (1, BASE_TEXT, {"k": 1}), (2, _copy({59: "x"}), None), (3, "a row like no other", {})]
+    table = bounded_batches(spark).createDataFrame(rows, "doc_id long, text string, extra map<string, int>")
+    found = sorted((r.doc_id, r.extra) for r in neardup.keep_one_each(table, words=2).collect())
+    assert found == [(1, {"k": 1}), (3, {})]
+
+
+def test_near_duplicates_leave_one_table(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("voxmill-*"))
+    table = bounded_batches(spark).createDataFrame([(k, _copy({k: "x"})) for k in range(6)], "doc_id long, text string")
+    assert neardup.near_duplicates(table, words=2).where("component_id = 0").count() == 6
+    assert len(set(folder.glob("voxmill-*")) - before) == 1

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from voxmill.llm.shared import only
 from voxmill.operators.components import components
-from voxmill.session import cut_lineage, ship_with_tasks
+from voxmill.session import cut_lineage, scratch, ship_with_tasks
 
 ship_with_tasks(__name__)
 
@@ -191,6 +191,11 @@ def _pairs(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
 
 def loose_groups(nodes: DataFrame) -> DataFrame:
     """Rows ``(node, grp)`` of the nodes that agree with another one, by connection."""
+    with scratch(nodes.sparkSession) as hand_over:
+        return hand_over(_by_connection(nodes))
+
+
+def _by_connection(nodes: DataFrame) -> DataFrame:
     postings = cut_lineage(_prefix_postings(nodes))
     short = postings.where(F.col("members") <= SHORT_LIST)
     long = postings.where(F.col("members") > SHORT_LIST)
@@ -219,9 +224,7 @@ def loose_groups(nodes: DataFrame) -> DataFrame:
         return groups
     merged = cut_lineage(components(more).toDF("grp", "larger"))
     known = groups.unionByName(merged.select(F.col("grp").alias("node"), "grp")).distinct()
-    return cut_lineage(
-        known.join(merged, "grp", "left").select("node", F.coalesce("larger", "grp").alias("grp"))
-    )
+    return known.join(merged, "grp", "left").select("node", F.coalesce("larger", "grp").alias("grp"))
 
 
 def _enough(shared: Column, a: Column, b: Column, similarity: int) -> Column:
@@ -366,7 +369,8 @@ def _found(documents: DataFrame, words: int, similarity: int) -> DataFrame:
         )
         .select("row.id", "row.key", "node", "n", "sig")
     )
-    links = cut_lineage(confirmed_links(texts, nodes, loose_groups(nodes), words, similarity))
+    with scratch(documents.sparkSession) as hand_over:
+        links = hand_over(confirmed_links(texts, nodes, loose_groups(nodes), words, similarity))
     linked = components(links).toDF("node", "root")
     rooted = nodes.select("node", "id").join(linked, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
@@ -388,12 +392,15 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: int = 80)
     the smallest); a null id is larger than any other, and a component of null
     ids only has a null ``component_id`` and keeps them.
     """
-    return _found(documents, words, similarity).select(
-        F.col("id").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        "component_id",
-        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
-    )
+    with scratch(documents.sparkSession) as hand_over:
+        return hand_over(
+            _found(documents, words, similarity).select(
+                F.col("id").alias("doc_id"),
+                F.col("n").alias("n_shingles"),
+                "component_id",
+                F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+            )
+        )
 
 
 def keep_one_each(documents: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
@@ -404,9 +411,10 @@ def keep_one_each(documents: DataFrame, words: int = 5, similarity: int = 80) ->
     other columns).  Rows of different components never fall together, whatever
     their ids; rows without words are linked with nothing and all stay.
     """
-    found = _found(documents, words, similarity)
-    first = found.where(F.col("id").eqNullSafe(F.col("component_id")))
-    firsts = cut_lineage(first.groupBy("id", "key", "root").agg(F.count("*").alias("rows")))
+    with scratch(documents.sparkSession) as hand_over:
+        found = _found(documents, words, similarity)
+        first = found.where(F.col("id").eqNullSafe(F.col("component_id")))
+        firsts = hand_over(first.groupBy("id", "key", "root").agg(F.count("*").alias("rows")))
     counts = firsts.where("root IS NOT NULL").groupBy("root").agg(F.sum("rows").alias("rows")).where("rows > 1")
     repeated = cut_lineage(counts.select("root"))
 
@@ -417,8 +425,9 @@ def keep_one_each(documents: DataFrame, words: int = 5, similarity: int = 80) ->
         return keyed.alias("d").join(firsts.alias("f"), same, "left_semi").select("row.*")
     alone = firsts.join(repeated, "root", "left_anti")
     again = firsts.join(repeated, "root", "left_semi")
-    order = ["text", *(name for name in documents.columns if name != "text")]
-    least = F.min(F.struct(*(F.col(f"row.`{name}`").alias(name) for name in order))).alias("row")
+    # Rows are ordered by what they print as, so columns that have no order (maps) do no harm.
+    values = (F.coalesce(F.to_json(F.struct(F.col(f"row.`{name}`"))), F.lit("")) for name in documents.columns)
+    least = F.min_by("row", F.struct(F.col("row.text").alias("text"), F.concat(*values).alias("rest"))).alias("row")
     chosen = keyed.alias("d").join(again.alias("f"), same).groupBy("f.root").agg(least)
     columns = (F.col(f"row.`{name}`").alias(name) for name in documents.columns)
     return (

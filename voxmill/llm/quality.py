@@ -134,6 +134,7 @@ def _word_counts(words: Column) -> Column:
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RULES = ("n_words", "n_repeat_words", "chars", "commons")
+HISTOGRAMS = ("chars", "commons")
 
 
 def describe(documents: DataFrame, fields: Sequence[str] = RULES, text: str = "text") -> DataFrame:
@@ -286,8 +287,10 @@ def quality_table(documents: DataFrame) -> DataFrame:
 def keep_good(documents: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns; needs ``text`` and ``lang``.
 
-    Rows and counts are written once and read twice, as in ``quality_table``.
+    The rows are read twice and never written: once for the references, which
+    need the histograms only, and once for the verdicts.
     """
+    references = fit_references(describe(only(documents, text="text", lang="lang"), HISTOGRAMS))
     rows = documents.select(F.struct(*(F.col(f"`{name}`") for name in documents.columns)).alias("row"))
-    described = cut_lineage(describe(rows.select("row", "row.text", "row.lang")))
-    return judge(described, fit_references(described)).where("kept").select("row.*")
+    described = describe(rows.select("row", "row.text"))
+    return judge(described, references).where("kept").select("row.*")
