@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxmill.llm import credentials, decontam, neardup, packing, quality
 from voxmill.llm.shared import bounded_batches, read_table
-from voxmill.session import cut_lineage
+from voxmill.session import discard, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written before the next one reads it."""
+    """All stages on ``documents``, each written before the next one reads it.
+
+    What a stage leaves behind goes once its result is written, and that once
+    the next one's is; the last result reads the rows of the stage before it.
+    """
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut_lineage(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before = docs
+        with scratch(spark) as hand_over:
+            docs = hand_over(stage(spark, before, sf_dir))
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

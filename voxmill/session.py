@@ -148,13 +148,18 @@ def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     before, given as ``replaces``, is deleted once the new one is written; no
     other frame may still need it.  Inside a ``scratch`` the rows go with it.
     """
-    spark = df.sparkSession
     written = _written(df)
     if scopes := _scopes():
         scopes[-1].append(written._folder)
-    if (old := getattr(replaces, "_folder", None)) is not None:
-        _delete(spark, old)
-        for folders in _scopes():
-            if old in folders:
-                folders.remove(old)
+    if replaces is not None:
+        discard(replaces)
     return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete the rows of a frame that ``cut_lineage`` or a ``scratch`` gave; nothing to do for any other."""
+    if (folder := getattr(written, "_folder", None)) is not None:
+        _delete(written.sparkSession, folder)
+        for folders in _scopes():
+            if folder in folders:
+                folders.remove(folder)
