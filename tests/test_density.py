@@ -42,7 +42,7 @@ def test_boxes_are_small_and_keep_every_point(spark):
     rng = np.random.default_rng(5)
     # Most points on one line, many ties on the other axes.
     x = np.unique(np.column_stack([rng.integers(0, 40, 200), rng.integers(0, 2, 200)]), axis=0)
-    found = split_into_boxes(table(spark, x), 2, 8)
+    found, _ = split_into_boxes(table(spark, x), 8)
     assert found.count() == len(x)
     assert found.groupBy("box").count().agg(F.max("count")).first()[0] <= 8
 

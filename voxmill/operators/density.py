@@ -60,30 +60,37 @@ def _clustered(
     points: DataFrame, row_id: str, min_size: int, point: str, block_rows: int, piece_rows: int
 ) -> DataFrame:
     rows = cut_lineage(points.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(point).alias("x")))
+    # Equal points are one point with a weight.
+    distinct = cut_lineage(rows.groupBy("x").agg(F.min("row_id").alias("vid")))
+    tree = cut_lineage(spanning_tree(distinct.select("vid", "x"), block_rows))
+    named = cut_lineage(lookup_join(rows, distinct, ["x"], how="inner").select("row_id", "vid"))
+    return _named(label(named, tree, min_size, piece_rows), row_id)
+
+
+def label(rows: DataFrame, tree: DataFrame, min_size: int = 2, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``(row_id, cluster_id)`` of rows ``(row_id, vid)`` on the spanning tree ``(lo, hi, w)`` of their points.
+
+    Both are read several times and should be written.
+    """
+    points = cut_lineage(rows.groupBy("vid").agg(F.count("*").alias("weight")))
     total = rows.count()
     if total < 2:
-        return rows.select(F.col("row_id").alias(row_id), F.lit(0).alias("cluster_id"))
+        return rows.select("row_id", F.lit(0).alias("cluster_id"))
+    if points.limit(2).count() < 2:
+        return halves(rows, "row_id")
     smallest = max(2, min(min_size, total))
-    # Equal points are one point with a weight.
-    distinct = cut_lineage(
-        rows.groupBy("x").agg(F.min("row_id").alias("vid"), F.count("*").alias("weight"))
-    )
-    if distinct.limit(2).count() < 2:
-        return _named(halves(rows, "row_id"), row_id)
-    tree = cut_lineage(spanning_tree(distinct.select("vid", "x"), block_rows))
-    regions = cut_lineage(_regions(tree, distinct, smallest, piece_rows))
+    regions = cut_lineage(_regions(tree, points, smallest, piece_rows))
     chosen = cut_lineage(select_clusters(_cluster_tree(regions), piece_rows))
     members = regions.where(F.col("id") < 0).select(
         (-F.col("id") - 1).alias("vid"), F.col("region").alias("node")
     )
     labelled = lookup_join(members, chosen, ["node"])
-    per_point = distinct.join(labelled.select("vid", "chosen"), "vid").select("x", "vid", "chosen")
     per_row = cut_lineage(
-        lookup_join(rows, per_point.drop("vid"), ["x"]).select("row_id", "chosen")
+        lookup_join(rows, labelled.select("vid", "chosen"), ["vid"], how="inner").select("row_id", "chosen")
     )
     if per_row.where(F.col("chosen").isNotNull()).isEmpty():
-        return _named(halves(rows, "row_id"), row_id)
-    return _named(_number(per_row), row_id)
+        return halves(rows, "row_id")
+    return _number(per_row)
 
 
 def _named(labels: DataFrame, row_id: str) -> DataFrame:

@@ -1,39 +1,56 @@
 """Exact Euclidean minimum spanning tree of a point table.
 
-Points are cut into boxes of at most ``block_rows`` points.  Each round joins
-every component to its nearest other component (Boruvka).  Candidates are the
-edges of each box's own spanning tree, made once, and edges between boxes that
-lie close enough to beat the best edge known so far.  Boxes too far away, or
-within one component, are ruled out on their bounds alone; only the rest is
-compared point by point, in numpy, two boxes per call.  No cell, key or group
-ever brings more than two boxes together, however dense the data.
+1. Points are cut into boxes of at most ``block_rows`` points by the cuts of a
+   k-d tree, which a bounded sample of the points suggests.  Each box orders
+   its points by small leaves and makes its own tree, once.
+2. The tree of all points lies within the boxes' trees and, for each two boxes,
+   the edges between them of the tree of both.  Two boxes need no look at all
+   if they are farther apart than the longest step on some way between them
+   over other boxes; first the nearest boxes are compared, which gives such
+   ways, then the few pairs that are left.
+3. Two boxes are not compared point by point.  Their edges and pairs of leaves
+   are taken by rising length; a pair of leaves that is one component by then
+   is skipped, and one of two components gives one edge.
+4. The edges that may be in the tree meet by groups of neighbouring boxes.  What
+   closes a circle within a group goes; what can be in no other circle is sure;
+   and each way between points with edges to other groups becomes one edge for
+   the next, larger groups.
+
+Only the boxes (their bounds, at most ``MOST_BOXES``) visit the driver.
 
 Edges have one total order everywhere: squared length, then smaller end, then
 larger end.  Squares are summed axis by axis in all places, bounds included, so
 an edge has the same square wherever it is met; roots are taken at the end.
-With a strict order the rounds cannot close a circle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.operators.components import components
 from voxmill.operators.joins import lookup_join
-from voxmill.session import cut_lineage, ship_with_tasks
+from voxmill.session import cut_lineage, scratch, ship_with_tasks
 
 BLOCK_ROWS = 8192
-_COMPARE_ROWS = 512  # rows of one box compared with the other box at a time
-_LEVELS_PER_STEP = 4
-_INFINITE = float("inf")
+LEAF_ROWS = 64
+MOST_BOXES = 65_536  # of one tree; with more points, boxes have more rows than ``block_rows``
+SAMPLE_ROWS = 200_000  # points that suggest cuts at once
+NEAR_BOXES = 6  # compared with each box at first
+GROUP_LEVELS = 5  # boxes of 2 ** this meet in one group
 _TREE = "lo bigint, hi bigint, w double"
-_EDGE = "struct<w:double,lo:bigint,hi:bigint,other:bigint>"
+_PACKED = (
+    "box bigint, n bigint, ids binary, xs binary, ends binary, squares binary, "
+    "low array<double>, high array<double>, longest double"
+)
+_BETWEEN = "a bigint, b bigint, compared bigint, edges array<struct<w:double,lo:bigint,hi:bigint>>"
+_GRAPH = "u bigint, v bigint, w double, lo bigint, hi bigint, sure boolean, grp bigint"
 
 ship_with_tasks(__name__)
 
@@ -44,21 +61,18 @@ def spanning_tree(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     ``x`` are distinct points of equal width, ``vid`` distinct whole numbers.
     Equal lengths are ordered by their end points.
     """
-    if points.limit(block_rows + 1).count() <= block_rows:  # one box holds all
-        tree = points.withColumn("box", F.lit(1)).groupBy("box").applyInPandas(_box_tree, _TREE)
-        return _rooted(tree)
-    width = len(points.select("x").first()["x"])
-    boxed = split_into_boxes(points, width, block_rows)
-    local = cut_lineage(boxed.groupBy("box").applyInPandas(_box_tree, _TREE))
-    depth = boxed.agg(F.max(_depth(F.col("box")))).first()[0]
-    tree = _join_boxes(boxed, local, width, depth)
-    edges, rows = tree.count(), boxed.count()
-    if edges != rows - 1:
-        raise RuntimeError(f"{edges} edges for {rows} points: no tree")
-    return _rooted(tree)
-
-
-def _rooted(tree: DataFrame) -> DataFrame:
+    with scratch(points.sparkSession) as hand_over:
+        boxed, _ = split_into_boxes(points, block_rows)
+        packed = cut_lineage(pack(boxed))
+        boxes = Boxes.of(packed)
+        between = []
+        for pairs in boxes.rounds():
+            between.append(cut_lineage(compare(packed, pairs)))
+            boxes.learn(between[-1])
+        tree = hand_over(solve(packed, between, boxes.depth))
+    edges = tree.count()
+    if edges != max(boxes.points - 1, 0):
+        raise RuntimeError(f"{edges} edges for {boxes.points} points: no tree")
     return tree.withColumn("w", F.sqrt("w"))
 
 
@@ -69,44 +83,103 @@ def _depth(box: Column) -> Column:
     return F.length(F.bin(box)) - 1
 
 
-def split_into_boxes(points: DataFrame, width: int, block_rows: int) -> DataFrame:
-    """Add ``box``: halve every box with too many points along its widest side.
+def _ancestor(box: Column, level: int) -> Column:
+    """The box ``level`` levels below the top that contains ``box`` (or ``box`` itself)."""
+    down = F.greatest(_depth(box) - level, F.lit(0))
+    return F.call_function("shiftright", box, down)
+
 
-    Boxes are numbered like a binary heap (1, then 2 and 3, ...), so the boxes
-    above a box follow from its number.  Medians come from mergeable sketches;
-    no box is collected.
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    rows = len(column)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1 if rows else 0)
+
+
+@dataclass
+class Cuts:
+    """Where boxes are cut in two, by box number: 1 is cut into 2 and 3, these into 4 to 7, ..."""
+
+    at: dict[int, tuple[int, float]] = field(default_factory=dict)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The box of each point."""
+        box = np.ones(len(x), np.int64)
+        if not self.at or not len(x):
+            return box
+        known = np.array(sorted(self.at), np.int64)
+        axis = np.array([self.at[b][0] for b in known.tolist()])
+        cut = np.array([self.at[b][1] for b in known.tolist()])
+        open_ = np.arange(len(x))
+        while len(open_):
+            place = np.minimum(np.searchsorted(known, box[open_]), len(known) - 1)
+            inner = known[place] == box[open_]
+            open_, place = open_[inner], place[inner]
+            box[open_] = 2 * box[open_] + (x[open_, axis[place]] > cut[place])
+        return box
+
+    def grow(self, box: int, x: np.ndarray, rows: int) -> None:
+        """Cut a box until no part holds more than ``rows`` of the points ``x`` (or just equal ones)."""
+        open_ = [(box, x)]
+        while open_:
+            box, x = open_.pop()
+            if len(x) <= rows:
+                continue
+            sides = x.max(axis=0) - x.min(axis=0)
+            axis = int(sides.argmax())
+            if not sides[axis] > 0:
+                continue
+            values = x[:, axis]
+            middle = (len(x) - 1) // 2
+            cut = np.partition(values, middle)[middle]
+            if cut == values.max():  # both halves must have points
+                cut = values[values < cut].max()
+            self.at[box] = axis, float(cut)
+            upper = values > cut
+            open_.extend([(2 * box, x[~upper]), (2 * box + 1, x[upper])])
+
+    def boxed(self, points: DataFrame) -> DataFrame:
+        """``(vid, x, box)`` of ``(vid, x)``."""
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                box = pa.array(self.find(_matrix(batch.column(1))), pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, box], ["vid", "x", "box"])
+
+        rows = points.select(F.col("vid").cast("bigint"), F.col("x").cast("array<double>"))
+        return rows.mapInArrow(place, "vid bigint, x array<double>, box bigint")
+
+
+def split_into_boxes(points: DataFrame, block_rows: int, cuts: Cuts | None = None) -> tuple[DataFrame, Cuts]:
+    """``(vid, x, box)`` with at most ``block_rows`` points a box, and the cuts.
+
+    Cuts come from a sample of at most about ``SAMPLE_ROWS`` points of the boxes
+    that are still too large, until none is; given ``cuts`` are kept.  With more
+    than ``MOST_BOXES / 2`` times ``block_rows`` points, boxes get larger.
     """
-    boxed = cut_lineage(points.select("vid", "x", F.lit(1).cast("bigint").alias("box")))
+    cuts = Cuts(dict(cuts.at)) if cuts else Cuts()
     while True:
-        stats = boxed.groupBy("box").agg(
-            F.count("*").alias("n"),
-            F.array(*[F.min(F.col("x")[i]) for i in range(width)]).alias("low"),
-            F.array(*[F.max(F.col("x")[i]) for i in range(width)]).alias("high"),
-            F.array(
-                *[F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(width)]
-            ).alias("middle"),
-        )
-        sides = F.zip_with("high", "low", lambda h, l: h - l)
-        axis = (F.array_position(sides, F.array_max(sides)) - 1).cast("int")
-        low, high = F.get("low", F.col("axis")), F.get("high", F.col("axis"))
-        half = low + (high - low) / 2
-        middle = F.get("middle", F.col("axis"))
-        # A value below the upper bound, so that both halves have points.
-        cut = F.when(middle < high, middle).when(half < high, half).otherwise(low)
-        full = cut_lineage(
-            stats.where(F.col("n") > block_rows)
-            .withColumn("axis", axis)
-            .select("box", "axis", cut.alias("cut"))
-        )
-        if full.isEmpty():
-            return boxed
-        upper = (F.get("x", F.col("axis")) > F.col("cut")).cast("bigint")
-        boxed = cut_lineage(
-            lookup_join(boxed, full, ["box"]).select(
-                "vid", "x", F.coalesce(F.col("box") * 2 + upper, "box").alias("box")
-            ),
-            replaces=boxed,
-        )
+        boxed = cuts.boxed(points)
+        sizes = dict(map(tuple, boxed.groupBy("box").agg(F.count("*")).collect()))
+        limit = max(block_rows, -(-2 * sum(sizes.values()) // MOST_BOXES))
+        full = sorted(box for box, n in sizes.items() if n > limit)
+        if not full:
+            return boxed, cuts
+        step = -(-sum(sizes[box] for box in full) // SAMPLE_ROWS)
+        some = boxed.where(F.col("box").isin(full) & (F.pmod(F.xxhash64("vid"), F.lit(step)) == 0))
+        sample = some.select("box", "x").toArrow()
+        where = sample.column("box").to_numpy()
+        x = _matrix(sample.column("x").combine_chunks())
+        for box in full:
+            cuts.grow(box, x[where == box], max(1, int(limit * 0.9 / step)) if step > 1 else limit)
+        for box in (b for b in full if b not in cuts.at):  # no two sampled points differ
+            ends = boxed.where(F.col("box") == box).select(F.posexplode("x").alias("i", "c"))
+            low, high, axis = max(
+                (low, high, i) for i, low, high in ends.groupBy("i").agg(F.min("c"), F.max("c")).collect() if low < high
+            )
+            half = low + (high - low) / 2
+            cuts.at[box] = axis, half if half < high else low
+
+
+# --- one box ----------------------------------------------------------------
 
 
 def _squares(differences: np.ndarray) -> np.ndarray:
@@ -117,240 +190,500 @@ def _squares(differences: np.ndarray) -> np.ndarray:
     return total
 
 
-def _box_tree(rows: pd.DataFrame) -> pd.DataFrame:
-    """Spanning tree of one box (Prim), ``w`` squared; equal lengths go by end points."""
-    rows = rows.sort_values("vid", ignore_index=True)
-    ids = rows["vid"].to_numpy()
-    x = np.stack(rows["x"].to_numpy())
-    n = len(ids)
-    if n < 2:
-        return pd.DataFrame({"lo": [], "hi": [], "w": []}).astype(
-            {"lo": "int64", "hi": "int64", "w": "float64"}
-        )
+def _own_tree(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends (by place) and squares of the spanning tree of a box (Prim); equal lengths go by ends."""
+    n = len(x)
     best = np.full(n, np.inf)
     nearest = np.zeros(n, dtype=np.int64)
     outside = np.ones(n, dtype=bool)
     outside[0] = False
-    current, edges = 0, []
+    current, ends, squares = 0, [], []
     for _ in range(n - 1):
         d2 = _squares(x - x[current])
         closer = outside & ((d2 < best) | ((d2 == best) & (current < nearest)))
         best[closer], nearest[closer] = d2[closer], current
         open_ = np.where(outside, best, np.inf)
         tied = np.flatnonzero(open_ == open_.min())
-        ends = [(min(i, nearest[i]), max(i, nearest[i]), i) for i in tied]
-        lo, hi, current = min(ends)
+        lo, hi, current = min((min(i, nearest[i]), max(i, nearest[i]), i) for i in tied)
         outside[current] = False
-        edges.append((ids[lo], ids[hi], float(best[current])))
-    return pd.DataFrame(edges, columns=["lo", "hi", "w"])
-
-
-# --- rounds over all boxes ---------------------------------------------------
-
-
-def _join_boxes(boxed: DataFrame, local: DataFrame, width: int, depth: int) -> DataFrame:
-    points = boxed.withColumn("comp", F.col("vid"))
-    inner = local.select("lo", "hi", "w", F.col("lo").alias("ca"), F.col("hi").alias("cb"))
-    tree: list[DataFrame] = []
-    while True:
-        known = cut_lineage(
-            _best(
-                inner.select(F.col("ca").alias("comp"), _edge(F.col("cb"))).unionByName(
-                    inner.select(F.col("cb").alias("comp"), _edge(F.col("ca")))
-                )
-            )
-        )
-        closer = _edges_between_boxes(points, known, width, depth)
-        best = cut_lineage(_best(known.unionByName(closer)))
-        tree.append(best.select("e.lo", "e.hi", "e.w").distinct())
-        joined = cut_lineage(
-            components(best.select(F.col("comp").alias("a"), F.col("e.other").alias("b")))
-        )
-        if joined.select("component").distinct().limit(2).count() < 2:
-            return reduce(DataFrame.unionByName, tree)
-        points = cut_lineage(_relabel(points, joined, "comp"))
-        inner = cut_lineage(
-            _relabel(_relabel(inner, joined, "ca"), joined, "cb").where(
-                F.col("ca") != F.col("cb")
-            )
-        )
-
-
-def _edge(other: Column) -> Column:
-    return F.struct("w", "lo", "hi", other.alias("other")).alias("e")
-
-
-def _best(candidates: DataFrame) -> DataFrame:
-    """The first edge of each component by length, then end points."""
-    return candidates.groupBy("comp").agg(F.min("e").alias("e"))
-
-
-def _relabel(rows: DataFrame, joined: DataFrame, column: str) -> DataFrame:
-    names = joined.select(F.col("vertex").alias(column), "component")
-    return (
-        lookup_join(rows, names, [column])
-        .withColumn(column, F.coalesce("component", column))
-        .drop("component")
-    )
-
-
-def _edges_between_boxes(
-    points: DataFrame, known: DataFrame, width: int, depth: int
-) -> DataFrame:
-    """For each component its best edge into another box, where better than known."""
-    limits = known.select("comp", F.col("e.w").alias("limit"))
-    limited = lookup_join(points, limits, ["comp"])
-    member = F.struct("vid", "x", "comp", F.coalesce("limit", F.lit(_INFINITE)).alias("limit"))
-    packed = cut_lineage(
-        limited.groupBy("box").agg(
-            F.sort_array(F.collect_list(member)).alias("members"),
-            F.array(*[F.min(F.col("x")[i]) for i in range(width)]).alias("low"),
-            F.array(*[F.max(F.col("x")[i]) for i in range(width)]).alias("high"),
-            F.when(F.min("comp") == F.max("comp"), F.min("comp")).alias("pure"),
-            F.max(F.coalesce("limit", F.lit(_INFINITE))).alias("limit"),
-        )
-    )
-    pairs = _close_boxes(packed.drop("members"), width, depth)
-
-    def side(prefix: str) -> DataFrame:
-        def column(name: str) -> Column:
-            return F.transform("members", lambda m: m[name]).alias(f"{prefix}_{name}")
-
-        flat = F.flatten(F.transform("members", lambda m: m["x"])).alias(f"{prefix}_x")
-        return packed.select(
-            F.col("box").alias(prefix), flat, column("vid"), column("comp"), column("limit")
-        )
-
-    # A box may be close to many: a hot key that adaptive execution splits.
-    both = lookup_join(pairs, side("near"), ["near"], how="inner")
-    both = lookup_join(both, side("far"), ["far"], how="inner")
-    return both.drop("near", "far", "far_limit").mapInPandas(
-        _compare_boxes, f"comp bigint, e {_EDGE}"
+        ends.append((lo, hi))
+        squares.append(float(best[current]))
+    return np.array(ends, np.int32).reshape(-1, 2), np.array(squares)
+
+
+def _leaf_order(x: np.ndarray) -> np.ndarray:
+    """Places of the points such that each run of LEAF_ROWS lies close together."""
+    order = np.arange(len(x))
+    open_ = [(0, len(x))]
+    while open_:
+        start, end = open_.pop()
+        if end - start <= LEAF_ROWS:
+            continue
+        part = order[start:end]
+        values = x[part]
+        axis = (values.max(axis=0) - values.min(axis=0)).argmax()
+        # A whole number of leaves on the left.
+        half = (end - start + 2 * LEAF_ROWS - 1) // (2 * LEAF_ROWS) * LEAF_ROWS
+        order[start:end] = part[np.argpartition(values[:, axis], half)]
+        open_.extend([(start, start + half), (start + half, end)])
+    return order
+
+
+def _pack_box(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("vid", ignore_index=True)
+    ids = rows["vid"].to_numpy(np.int64)
+    x = np.stack(rows["x"].to_numpy()).astype(float)
+    ends, squares = _own_tree(x)
+    order = _leaf_order(x)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    told = {
+        "box": rows["box"].iloc[0],
+        "n": len(ids),
+        "ids": ids[order].tobytes(),
+        "xs": x[order].tobytes(),
+        "ends": place[ends].astype(np.int32).tobytes(),
+        "squares": squares.tobytes(),
+        "low": x.min(axis=0),
+        "high": x.max(axis=0),
+        "longest": float(squares.max(initial=0.0)),
+    }
+    return pd.DataFrame([told])
+
+
+def pack(boxed: DataFrame) -> DataFrame:
+    """One row per box: its points in leaf order, its own tree and its bounds."""
+    return boxed.groupBy("box").applyInPandas(_pack_box, _PACKED)
+
+
+class _Box:
+    """A packed box, unpacked."""
+
+    def __init__(self, ids: bytes, xs: bytes, ends: bytes, squares: bytes) -> None:
+        self.ids = np.frombuffer(ids, np.int64)
+        self.x = np.frombuffer(xs).reshape(len(self.ids), -1)
+        self.ends = np.frombuffer(ends, np.int32).reshape(-1, 2)
+        self.squares = np.frombuffer(squares)
+        starts = range(0, len(self.ids), LEAF_ROWS)
+        self.leaves = [slice(start, start + LEAF_ROWS) for start in starts]
+        self.low = np.array([self.x[leaf].min(axis=0) for leaf in self.leaves])
+        self.high = np.array([self.x[leaf].max(axis=0) for leaf in self.leaves])
+        # The tree edges within each leaf, from either end: (from, to, square), by their first end.
+        leaf = self.ends // LEAF_ROWS
+        inside = np.flatnonzero(leaf[:, 0] == leaf[:, 1])
+        ways = np.concatenate([self.ends[inside], self.ends[inside][:, ::-1]])
+        squares = np.concatenate([self.squares[inside]] * 2)
+        order = np.argsort(ways[:, 0], kind="stable")
+        ways, squares = ways[order], squares[order]
+        bounds = np.searchsorted(ways[:, 0], [leaf.start for leaf in self.leaves] + [len(self.ids)])
+        self.within = [
+            (ways[i:j] - leaf.start, squares[i:j]) for leaf, i, j in zip(self.leaves, bounds, bounds[1:], strict=False)
+        ]
+
+    def beaten(self, leaf: int, some: np.ndarray, d2: np.ndarray) -> np.ndarray:
+        """Which entries of ``d2`` (other points by ``some`` points of the leaf) another of these points beats.
+
+        That is so if it lies closer to the other point and has a tree edge, shorter too, to this one.
+        """
+        out = np.zeros(d2.shape, bool)
+        ways, squares = self.within[leaf]
+        place = np.full(LEAF_ROWS, -1)
+        place[some] = np.arange(len(some))
+        ways = place[ways]
+        both = (ways >= 0).all(axis=1)
+        ways, squares = ways[both], squares[both]
+        if len(ways):
+            far = d2[:, ways[:, 0]]
+            longer = (far > d2[:, ways[:, 1]]) & (far > squares)
+            points, starts = np.unique(ways[:, 0], return_index=True)
+            out[:, points] = np.logical_or.reduceat(longer, starts, axis=1)
+        return out
+
+
+class _Joined:
+    """Components of the points of two boxes."""
+
+    def __init__(self, count: int) -> None:
+        self.parent = list(range(count))
+        self.left = count
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.parent[y] = x
+        self.left -= 1
+        return True
+
+
+def edges_between(a: _Box, b: _Box) -> tuple[list[tuple[float, int, int]], int]:
+    """The edges ``(w, lo, hi)`` between two boxes in the tree of both, and how many pairs of points were compared."""
+    first = len(a.ids)
+    ids = np.concatenate([a.ids, b.ids])
+    joined = _Joined(len(ids))
+    ends = np.concatenate([a.ends, b.ends + first])
+    squares = np.concatenate([a.squares, b.squares])
+    lo, hi = np.sort(ids[ends], axis=1).T if len(ends) else (ids[:0], ids[:0])
+    order = np.lexsort((hi, lo, squares))
+    own = list(zip(squares[order].tolist(), lo[order].tolist(), hi[order].tolist(), *ends[order].T.tolist(), strict=True))
+    apart = _squares(
+        np.maximum(0.0, np.maximum(b.low[None] - a.high[:, None], a.low[:, None] - b.high[None]))
     )
+    # Pairs of leaves by the length from which on they have not been looked at.
+    open_ = [(float(gap), i, j) for (i, j), gap in np.ndenumerate(apart)]
+    heapify(open_)
+    usual = float(np.quantile(squares, 0.9)) if len(squares) else 0.0
+    whole: dict[tuple[int, int], int] = {}  # leaves that are one component, with a point of it
+
+    def components(side: int, leaf: int, box: _Box) -> np.ndarray:
+        shift = first * side
+        if (known := whole.get((side, leaf))) is not None:
+            return np.array([joined.root(known)])
+        found = np.array([joined.root(i) for i in range(shift + box.leaves[leaf].start, shift + min(box.leaves[leaf].stop, len(box.ids)))])
+        if (found == found[0]).all():
+            whole[side, leaf] = int(found[0])
+            return found[:1]
+        return found
+
+    between: list[tuple[float, int, int]] = []
+    pending: list[tuple[float, int, int, int, int]] = []
+    k = compared = 0
+    while joined.left > 1:
+        event = own[k] if k < len(own) else None
+        if pending and (event is None or pending[0] < event):
+            event = pending[0]
+        if open_ and (event is None or open_[0][0] <= event[0]):
+            since, i, j = heappop(open_)
+            ca, cb = components(0, i, a), components(1, j, b)
+            if len(ca) == len(cb) == 1 and ca[0] == cb[0]:
+                continue
+            # For now, edges up to a length; by the next time much may have been joined.
+            until = max(2 * since, usual, event[0]) or np.inf if event is not None else np.inf
+            xa, xb = a.x[a.leaves[i]], b.x[b.leaves[j]]
+            near_a = _squares(np.maximum(0.0, np.maximum(b.low[j] - xa, xa - b.high[j]))) <= until
+            near_b = _squares(np.maximum(0.0, np.maximum(a.low[i] - xb, xb - a.high[i]))) <= until
+            # Against a leaf that is one component, only points of others count.
+            some = np.flatnonzero(near_a & (ca != cb[0]) if len(cb) == 1 else near_a)
+            others = np.flatnonzero(near_b & (cb != ca[0]) if len(ca) == 1 else near_b)
+            if until < np.inf:
+                heappush(open_, (until, i, j))
+            if not len(some) or not len(others):
+                continue
+            d2 = _squares(xa[some][:, None] - xb[others][None])
+            compared += d2.size
+            keep = d2 <= until
+            if len(ca) == len(cb) == 1:  # two components: their first edge
+                keep &= d2 == d2.min()
+            elif len(ca) > 1 and len(cb) > 1:
+                keep &= ca[some][:, None] != cb[others][None]
+            if len(some) > 1 and len(others) > 1:
+                keep &= ~b.beaten(j, others, d2) & ~a.beaten(i, some, d2.T).T
+            ia, ib = a.ids[a.leaves[i]], b.ids[b.leaves[j]]
+            rows, columns = np.nonzero(keep)
+            found = d2[rows, columns]
+            rows, columns = some[rows], others[columns]
+            for w, p, q in zip(found.tolist(), rows.tolist(), columns.tolist(), strict=True):
+                one, two = int(ia[p]), int(ib[q])
+                heappush(pending, (w, min(one, two), max(one, two), i * LEAF_ROWS + p, first + j * LEAF_ROWS + q))
+            continue
+        if event is None:
+            raise RuntimeError("two boxes have no edge between them")
+        if pending and event is pending[0]:
+            heappop(pending)
+            if joined.join(event[3], event[4]):
+                between.append(event[:3])
+        else:
+            k += 1
+            joined.join(event[3], event[4])
+    return between, compared
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("w", pa.float64()), ("lo", pa.int64()), ("hi", pa.int64())]))
+    names = ("ids", "xs", "ends", "squares")
+    for batch in batches:
+        compared, edges = [], []
+        for row in range(batch.num_rows):
+            sides = [_Box(*(batch.column(f"{side}_{name}")[row].as_py() for name in names)) for side in "ab"]
+            found, count = edges_between(*sides)
+            compared.append(count)
+            edges.append([{"w": w, "lo": lo, "hi": hi} for w, lo, hi in found])
+        columns = [batch.column("a"), batch.column("b"), pa.array(compared, pa.int64()), pa.array(edges, kind)]
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "compared", "edges"])
+
+
+def compare(packed: DataFrame, pairs: list[tuple[int, int]] | DataFrame) -> DataFrame:
+    """``(a, b, compared, edges)`` of pairs of boxes ``(a, b)``; one pair holds two boxes in a task."""
+    if isinstance(pairs, list):
+        pairs = packed.sparkSession.createDataFrame(pairs, "a bigint, b bigint")
+    both = pairs
+    for side in "ab":
+        box = packed.select(F.col("box").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("ids", "xs", "ends", "squares")))
+        both = lookup_join(both, box, [side], how="inner")
+    # A task for every few pairs: the rows are large, and some cost far more than others.
+    tasks = F.xxhash64("a", "b")
+    return both.repartition(packed.sparkSession.sparkContext.defaultParallelism * 2, tasks).mapInArrow(_compare, _BETWEEN)
+
+
+# --- which boxes to compare ---------------------------------------------------
+
+
+@dataclass
+class Boxes:
+    """Number, bounds and longest own edge of all boxes."""
+
+    number: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    longest: np.ndarray
+    points: int
+    spark: SparkSession | None
+
+    @classmethod
+    def of(cls, packed: DataFrame) -> Boxes:
+        rows = sorted(packed.select("box", "low", "high", "longest", "n").collect())
+        return cls.told(packed.sparkSession, rows)
+
+    @classmethod
+    def told(cls, spark: SparkSession, rows: list[tuple]) -> Boxes:
+        """Of rows ``(box, low, high, longest, n)`` by box."""
+        table = [np.array([row[k] for row in rows]) for k in range(4)]
+        return cls(*table, sum(row[4] for row in rows), spark)
+
+    @property
+    def depth(self) -> int:
+        return max((int(box).bit_length() - 1 for box in self.number), default=0)
+
+    def gaps(self, k: int) -> np.ndarray:
+        """Squared distance of the bounds of box ``k`` from those of all boxes."""
+        return _squares(np.maximum(0.0, np.maximum(self.low - self.high[k], self.low[k] - self.high)))
+
+    def _pairs(self, choose) -> set[tuple[int, int]]:
+        """Pairs ``(k, l)``, smaller place first, of the places that ``choose(k)`` gives; worked out in the tasks."""
+        count, spark = len(self.number), self.spark
+        view = Boxes(self.number, self.low, self.high, self.longest, self.points, None)
+
+        def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [(k, int(other)) for k in batch["id"] for other in choose(view, k) if other != k]
+                yield pd.DataFrame(found, columns=["k", "l"], dtype="int64")
+
+        rows = spark.range(0, count, 1, min(count, 2 * spark.sparkContext.defaultParallelism))
+        found = rows.mapInPandas(pick, "k bigint, l bigint").toArrow()
+        pairs = zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)
+        return {(min(pair), max(pair)) for pair in pairs}
+
+    def _ways(self) -> set[tuple[int, int]]:
+        """One pair of boxes across each cut, so that all boxes are connected."""
+        place = {int(box): k for k, box in enumerate(self.number)}
+        inner = {box >> up for box in place for up in range(1, box.bit_length())}
+        # Bounds of the boxes of boxes, from below.
+        bounds = {box: (self.low[k], self.high[k]) for box, k in place.items()}
+        for box in sorted(inner, reverse=True):
+            below = [bounds[b] for b in (2 * box, 2 * box + 1) if b in bounds]
+            bounds[box] = np.min([b[0] for b in below], axis=0), np.max([b[1] for b in below], axis=0)
+
+        def gap(one: int, two: int) -> float:
+            (l1, h1), (l2, h2) = bounds[one], bounds[two]
+            return float(_squares(np.maximum(0.0, np.maximum(l2 - h1, l1 - h2))))
+
+        found = set()
+        for box in inner:
+            sides = [b for b in (2 * box, 2 * box + 1) if b in bounds]
+            if len(sides) < 2:
+                continue
+            one, two = sides
+            while one in inner or two in inner:
+                if one in inner:
+                    one = min((b for b in (2 * one, 2 * one + 1) if b in bounds), key=lambda b: gap(b, two))
+                if two in inner:
+                    two = min((b for b in (2 * two, 2 * two + 1) if b in bounds), key=lambda b: gap(one, b))
+            found.add((min(place[one], place[two]), max(place[one], place[two])))
+        return found
+
+    def _near(self) -> set[tuple[int, int]]:
+        def nearest(boxes: Boxes, k: int) -> np.ndarray:
+            gaps = boxes.gaps(k)
+            return np.argsort(gaps, kind="stable")[: NEAR_BOXES + 1]
+
+        return self._pairs(nearest)
+
+    def _left(self, steps: Mapping[tuple[int, int], float]) -> set[tuple[int, int]]:
+        """Pairs that lie closer than the longest step on a known way between them."""
+        order, jumps = _linked(len(self.number), self._steps(steps))
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+
+        def closer(boxes: Boxes, k: int) -> np.ndarray:
+            here = at[k]
+            longest = np.zeros(len(order))
+            longest[here + 1 :] = np.maximum.accumulate(jumps[here:])
+            longest[:here] = np.maximum.accumulate(jumps[:here][::-1])[::-1]
+            return order[boxes.gaps(k)[order] <= longest]
+
+        return self._pairs(closer) - set(steps)
+
+    def _steps(self, steps: Mapping[tuple[int, int], float]) -> list[tuple[float, int, int]]:
+        """From anywhere in one box to anywhere in the other: the edge between, or an own edge if longer."""
+        return sorted((max(w, self.longest[k], self.longest[l]), k, l) for (k, l), w in steps.items())
+
+    def rounds(self, steps: Mapping[tuple[int, int], float] | None = None) -> Iterator[list[tuple[int, int]]]:
+        """Pairs of box numbers to compare: near ones, then those still needed.
+
+        The caller compares them and gives the shortest edge of each pair to ``learn``.
+        """
+        if len(self.number) < 2:
+            return
+        known = dict(steps or {})
+        first = (self._near() | self._ways()) - set(known)
+        if first:
+            yield self._numbered(first)
+            known |= self._shortest
+        if more := self._left(known):
+            yield self._numbered(more)
+
+    def _numbered(self, pairs: set[tuple[int, int]]) -> list[tuple[int, int]]:
+        return [(int(self.number[k]), int(self.number[l])) for k, l in sorted(pairs)]
+
+    def learn(self, between: DataFrame) -> None:
+        """Take in the shortest edge of each compared pair."""
+        place = {int(box): k for k, box in enumerate(self.number)}
+        rows = between.select("a", "b", F.array_min("edges.w").alias("w")).collect()
+        self._shortest = {(place[a], place[b]): w for a, b, w in rows}
+
+
+def _linked(count: int, steps: list[tuple[float, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The boxes in a row such that between any two, the largest jump is the longest step of their best way."""
+    root = list(range(count))
+    head, tail = list(range(count)), list(range(count))
+    after: list[int | None] = [None] * count
+    jump = [0.0] * count
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for w, k, l in steps:
+        k, l = find(k), find(l)
+        if k != l:
+            after[tail[k]], jump[tail[k]] = head[l], w
+            tail[k] = tail[l]
+            root[l] = k
+    order, jumps = [head[find(0)]], []
+    while (following := after[order[-1]]) is not None:
+        jumps.append(jump[order[-1]])
+        order.append(following)
+    if len(order) != count:
+        raise RuntimeError("the boxes are not all connected")
+    return np.array(order), np.array(jumps)
+
+
+# --- from candidate edges to the tree -----------------------------------------
+
+
+def _own_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(lo, hi, w, box)`` of the boxes' own trees."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            ids = np.frombuffer(batch.column("ids")[row].as_py(), np.int64)
+            ends = np.frombuffer(batch.column("ends")[row].as_py(), np.int32).reshape(-1, 2)
+            lo, hi = np.sort(ids[ends], axis=1).T
+            w = np.frombuffer(batch.column("squares")[row].as_py())
+            box = np.full(len(w), batch.column("box")[row].as_py())
+            columns = [pa.array(c) for c in (np.ascontiguousarray(lo), np.ascontiguousarray(hi), w, box)]
+            yield pa.RecordBatch.from_arrays(columns, ["lo", "hi", "w", "box"])
 
 
-def _close_boxes(boxes: DataFrame, width: int, depth: int) -> DataFrame:
-    """Pairs ``(near, far)`` of boxes that may hold an edge better than ``near`` knows.
+def _contract(rows: pd.DataFrame) -> pd.DataFrame:
+    """One group of boxes: drop what closes a circle, tell what is sure, shorten the rest.
 
-    Goes down the boxes of boxes, a few levels per step.  A box of boxes is
-    dropped when it is farther away than the best edge known, or when both are
-    wholly in the same component.  A box that surely holds another component
-    also bounds the best edge from above, by the distance of its far end.
+    Rows without ``v`` name points with edges to other groups.
     """
-    start = boxes.select(
-        F.col("box").alias("near"),
-        F.col("low").alias("nlow"),
-        F.col("high").alias("nhigh"),
-        F.col("pure").alias("npure"),
-        "limit",
-        F.lit(1).cast("bigint").alias("far"),
-    )
-    frontier, above = start, 0
-    for level in [*range(_LEVELS_PER_STEP, depth, _LEVELS_PER_STEP), depth]:
-        frontier = _descend(frontier, boxes, width, above, level)
-        above = level
-    return frontier.where(F.col("near") != F.col("far")).select("near", "far")
-
-
-def _ancestor(box: Column, level: int) -> Column:
-    """The box ``level`` levels below the top that contains ``box`` (or ``box`` itself)."""
-    down = F.greatest(_depth(box) - level, F.lit(0))
-    return F.call_function("shiftright", box, down)
-
-
-def _descend(
-    frontier: DataFrame, boxes: DataFrame, width: int, above: int, level: int
-) -> DataFrame:
-    groups = (
-        boxes.groupBy(
-            _ancestor(F.col("box"), above).alias("far"), _ancestor(F.col("box"), level).alias("_in")
-        )
-        .agg(
-            F.array(*[F.min(F.col("low")[i]) for i in range(width)]).alias("flow"),
-            F.array(*[F.max(F.col("high")[i]) for i in range(width)]).alias("fhigh"),
-            F.when(
-                (F.count("pure") == F.count("*")) & (F.min("pure") == F.max("pure")),
-                F.min("pure"),
-            ).alias("fpure"),
-        )
-    )
-    gaps = [
-        F.greatest(
-            F.lit(0.0),
-            F.col("flow")[i] - F.col("nhigh")[i],
-            F.col("nlow")[i] - F.col("fhigh")[i],
-        )
-        for i in range(width)
-    ]
-    spans = [
-        F.greatest(
-            F.col("fhigh")[i] - F.col("nlow")[i], F.col("nhigh")[i] - F.col("flow")[i]
-        )
-        for i in range(width)
-    ]
-    nearest = reduce(lambda a, b: a + b, [g * g for g in gaps])
-    farthest = reduce(lambda a, b: a + b, [s * s for s in spans])
-    same = F.coalesce(F.col("npure") == F.col("fpure"), F.lit(False))
-    # A box with several components holds one other than any given component.
-    foreign = F.col("npure").isNotNull() & ~same
-    seen = cut_lineage(
-        lookup_join(frontier, groups, ["far"], how="inner")
-        .withColumns({"_gap": nearest, "_span": F.when(foreign, farthest)})
-        .where(~same & (F.col("_gap") <= F.col("limit")))
-    )
-    bounds = (
-        seen.where(F.col("npure").isNotNull())
-        .groupBy("npure")
-        .agg(F.min("_span").alias("_bound"))
-    )
-    pure = lookup_join(seen.where(F.col("npure").isNotNull()), bounds, ["npure"]).withColumn(
-        "limit", F.least(F.col("limit"), F.coalesce("_bound", F.lit(_INFINITE)))
-    )
-    columns = ["near", "nlow", "nhigh", "npure", "limit", F.col("_in").alias("far")]
-    # A box of several components knows an edge for each of them already.
-    mixed = seen.where(F.col("npure").isNull()).select(*columns)
-    return pure.where(F.col("_gap") <= F.col("limit")).select(*columns).unionByName(mixed)
-
-
-def _compare_boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Best edge of each component of the near box into the far box, if good enough."""
-    for batch in batches:
-        found = [_compare(pair) for pair in batch.itertuples(index=False)]
-        found = [rows for rows in found if len(rows)]
-        if found:
-            yield pd.concat(found, ignore_index=True)
-
-
-def _compare(pair) -> pd.DataFrame:
-    a, b = np.asarray(pair.near_vid), np.asarray(pair.far_vid)
-    xa = np.asarray(pair.near_x, dtype=float).reshape(len(a), -1)
-    xb = np.asarray(pair.far_x, dtype=float).reshape(len(b), -1)
-    ca, cb = np.asarray(pair.near_comp), np.asarray(pair.far_comp)
-    limit = np.asarray(pair.near_limit, dtype=float)
-    outside = np.maximum(0.0, np.maximum(xb.min(axis=0) - xa, xa - xb.max(axis=0)))
-    near = np.flatnonzero(_squares(outside) <= limit)
-    a, xa, ca, limit = a[near], xa[near], ca[near], limit[near]
-    at = np.zeros(len(a), dtype=np.int64)
-    w = np.zeros(len(a))
-    for start in range(0, len(a), _COMPARE_ROWS):
-        some = slice(start, start + _COMPARE_ROWS)
-        d2 = np.zeros((len(a[some]), len(b)))
-        for axis in range(xb.shape[1]):
-            d2 += (xa[some, axis, None] - xb[None, :, axis]) ** 2
-        d2[ca[some, None] == cb[None, :]] = np.inf
-        # Members are sorted by id, so the first of equal distances is the right one.
-        at[some] = d2.argmin(axis=1)
-        w[some] = d2.min(axis=1)
-    rows = pd.DataFrame(
-        {
-            "comp": ca,
-            "w": w,
-            "lo": np.minimum(a, b[at]),
-            "hi": np.maximum(a, b[at]),
-            "other": cb[at],
-        }
-    )
-    rows = rows[np.isfinite(w) & (w <= limit)]
-    rows = rows.sort_values(["comp", "w", "lo", "hi"]).drop_duplicates("comp")
-    edges = rows[["w", "lo", "hi", "other"]].to_dict("records")
-    return pd.DataFrame({"comp": rows["comp"].to_numpy(dtype="int64"), "e": edges})
+    group = rows["grp"].iloc[0]
+    edges = rows[rows["v"].notna()].sort_values(["w", "lo", "hi"], ignore_index=True)
+    names, places = np.unique(edges[["u", "v"]].to_numpy(np.int64), return_inverse=True)
+    places = places.reshape(-1, 2).tolist()
+    gate = np.isin(names, rows["u"][rows["v"].isna()].to_numpy(np.int64)).tolist()
+    joined = _Joined(len(names))
+    kept = [k for k, (u, v) in enumerate(places) if joined.join(u, v)]
+    at: list[dict[int, int]] = [{} for _ in names]  # edge to the point at its other end
+    for k in kept:
+        u, v = places[k]
+        at[u][k], at[v][k] = v, u
+    sure: list[int] = []
+    # Ends that lead nowhere are in no circle.
+    loose = [x for x in range(len(names)) if len(at[x]) == 1 and not gate[x]]
+    while loose:
+        x = loose.pop()
+        if not at[x]:
+            continue
+        ((k, y),) = at[x].items()
+        sure.append(k)
+        at[x].clear()
+        del at[y][k]
+        if len(at[y]) == 1 and not gate[y]:
+            loose.append(y)
+    # Ways without branches count by their longest edge; the others are never the longest of a circle.
+    ways: list[tuple[int, int, int]] = []
+    done: set[int] = set()
+    for x in range(len(names)):
+        if not at[x] or (len(at[x]) == 2 and not gate[x]):
+            continue
+        for k, y in at[x].items():
+            if k in done:
+                continue
+            way = [k]
+            while len(at[y]) == 2 and not gate[y]:
+                ((k, y),) = ((e, z) for e, z in at[y].items() if e != way[-1])
+                way.append(k)
+            done.update(way)
+            longest = max(way)
+            sure.extend(e for e in way if e != longest)
+            ways.append((x, y, longest))
+    certain = edges.iloc[sure].assign(sure=True)
+    ends = edges.iloc[[k for _, _, k in ways]].assign(sure=False)
+    ends = ends.assign(u=names[[x for x, _, _ in ways]], v=names[[y for _, y, _ in ways]])
+    out = pd.concat([certain, ends], ignore_index=True).assign(grp=group)
+    return out[["u", "v", "w", "lo", "hi", "sure", "grp"]].astype({"u": "int64", "v": "int64"})
+
+
+def solve(packed: DataFrame, between: list[DataFrame], depth: int) -> DataFrame:
+    """The tree ``(lo, hi, w)``, ``w`` squared, from the boxes' own trees and the edges between boxes."""
+    own = packed.mapInArrow(_own_edges, "lo bigint, hi bigint, w double, box bigint")
+    graph = own.select("lo", "hi", "w", F.col("box").alias("gu"), F.col("box").alias("gv"))
+    for edges in between:
+        # Which end lies in which box does not matter: both are told.
+        one = edges.select("a", "b", F.explode("edges").alias("e")).select("e.lo", "e.hi", "e.w", "a", "b")
+        graph = graph.unionByName(one.withColumnsRenamed({"a": "gu", "b": "gv"}))
+    graph = graph.withColumns({"u": F.col("lo"), "v": F.col("hi")})
+    if not between:
+        return graph.select("lo", "hi", "w")
+    tree: list[DataFrame] = []
+    for level in [*range(max(depth - GROUP_LEVELS, 0), 0, -GROUP_LEVELS), 0]:
+        graph = graph.withColumns({side: _ancestor(F.col(side), level) for side in ("gu", "gv")})
+        inner = graph.where(F.col("gu") == F.col("gv")).select("u", "v", "w", "lo", "hi", F.col("gu").alias("grp"))
+        outer = graph.where(F.col("gu") != F.col("gv"))
+        gates = outer.select(
+            F.explode(
+                F.array(*(F.struct(F.col(end).alias("u"), F.col(g).alias("grp")) for end in "uv" for g in ("gu", "gv")))
+            ).alias("gate")
+        ).select("gate.*")
+        # An edge names both groups for each of its ends; the group that lacks the point ignores it.
+        rows = inner.unionByName(gates.distinct(), allowMissingColumns=True)
+        found = cut_lineage(rows.groupBy("grp").applyInPandas(_contract, _GRAPH))
+        tree.append(found.where("sure").select("lo", "hi", "w"))
+        rest = found.where("NOT sure").select("lo", "hi", "w", F.col("grp").alias("gu"), F.col("grp").alias("gv"), "u", "v")
+        graph = rest.unionByName(outer.select(rest.columns))
+    out = tree[0]
+    for more in tree[1:]:
+        out = out.unionByName(more)
+    return out

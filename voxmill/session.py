@@ -163,3 +163,15 @@ def discard(written: DataFrame) -> None:
         for folders in _scopes():
             if folder in folders:
                 folders.remove(folder)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a folder of any file system; none if it is missing."""
+    files = _files(spark, path)
+    if not files.exists(_path(spark, path)):
+        return []
+    return sorted(told.getPath().getName() for told in files.listStatus(_path(spark, path)) if told.isDirectory())
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    _delete(spark, path)
