@@ -9,10 +9,11 @@ from voxmill.checks import view as v
 from voxmill.checks.cleaning import MID_MONTH, joined_tags
 from voxmill.checks.registry import check
 from voxmill.functions import dates
+from voxmill.functions import lexicons as lex
 from voxmill.operators.cleaning import clean
 from voxmill.plans.realtime import report_stream
 from voxmill.session import work_dir
-from voxmill.streaming import streams
+from voxmill.streaming import clusters, state, streams, supervise
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -110,3 +111,155 @@ def stream_report(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("quotes", F.array_join("representative_quotes", "|")).drop(
         "representative_quotes"
     )
+
+
+def _stretches(events: DataFrame) -> DataFrame:
+    """Events as points on twenty stretches far apart, with the third of their stretch they lie in."""
+    event = F.col("event_id")
+    place = F.floor(event / 20)
+    last = events.agg(F.max(place)).scalar()
+    return events.select(
+        event.alias("row_id"),
+        F.array((event % 20 * 1_000_000 + place).cast("double"), F.lit(0.0)).alias("x"),
+        F.floor(place * 3 / (last + 1)).cast("int").alias("part"),
+    )
+
+
+def _in_files(rows: DataFrame, folder: str, parts: int = 3) -> None:
+    """One file for each ``part``, in this order; they come one micro-batch each."""
+    for part in range(parts):
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
+
+
+_DAY = 86_400
+_STRETCHES = """WITH last AS (SELECT max(event_id) // 20 + 1 AS n FROM events),
+    parts AS (SELECT event_id, (event_id // 20 * 3) // n AS part FROM events, last)
+    SELECT batch_id::INT AS batch_id, event_id, (event_id % 20)::INT AS cluster_id
+    FROM parts JOIN (SELECT unnest([0, 1, 2]) AS batch_id) b ON """
+
+
+def _clusters(spark: SparkSession, sf: str, since) -> DataFrame:
+    folder = work_dir(spark)
+    points = _stretches(v.table(spark, sf, "events"))
+    points = points.withColumn("at", F.timestamp_seconds(F.lit(v.EPOCH) + F.col("part") * _DAY))
+    _in_files(points, f"{folder}/in")
+    schema = points.drop("part").schema
+    stream = streams.read_stream(spark, f"{folder}/in", schema, files_per_batch=1)
+    rows = v.table(spark, sf, "events").count()
+    write = clusters.keep_clusters(folder, 5, since, block_rows=rows // 16 + 1, piece_rows=rows)
+    streams.write_batches(stream, write, f"{folder}/checkpoint").awaitTermination()
+    found = spark.read.parquet(f"{folder}/labels")
+    return found.select("batch_id", F.col("row_id").alias("event_id"), "cluster_id")
+
+
+@check("stream_clusters", _STRETCHES + "part <= batch_id")
+def stream_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Each stretch grows by a third a batch; after every batch all rows so far have their label."""
+    return _clusters(spark, sf, None)
+
+
+@check("stream_clusters_frame", _STRETCHES + "part BETWEEN batch_id - 1 AND batch_id")
+def stream_clusters_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a time frame of two days, so that the third batch loses the rows of the first."""
+    return _clusters(spark, sf, lambda batch: F.timestamp_seconds(F.lit(v.EPOCH + (batch - 1) * _DAY)))
+
+
+@check(
+    "stream_cap_state",
+    f"""WITH {v.CLEAN} SELECT source, review_id FROM clean
+    QUALIFY row_number() OVER (PARTITION BY source ORDER BY feed_pos) <= 250""",
+)
+def stream_cap_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven files, three a batch, with the count of each source in the stream's state."""
+    folder = work_dir(spark)
+    documents = v.table(spark, sf, "documents")
+    last = documents.agg(F.max("doc_id")).scalar()
+    parts = documents.withColumn("part", F.floor(F.col("doc_id") * 7 / (last + 1)).cast("int"))
+    _in_files(parts, f"{folder}/in", 7)
+    stream = streams.read_stream(spark, f"{folder}/in", documents.schema, files_per_batch=3)
+    rows = clean(v.from_documents(stream), v.SEGMENT_SYLLABLES).select("source", "review_id", "feed_pos")
+    capped = state.cap_in_state(rows, 250, "feed_pos")
+    streams.write_files(capped, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(capped.schema).parquet(f"{folder}/out").select("source", "review_id")
+
+
+# An event is fetched between 90 hours before and 10 hours after its own time.  Of three stretches
+# of fetches the last comes second and the middle one last.
+_STRETCH = ("2024-01-10 00:00:00", "2024-01-20 00:00:00")
+_FRAME = 48 * 3600
+
+
+@check(
+    "stream_held_rows",
+    f"""WITH fetched AS (
+      SELECT event_id, ts AS due, ts + INTERVAL 1 HOUR * ((event_id * 37) % 101 - 90) AS arrived FROM events),
+    rows_ AS (
+      SELECT *, CASE WHEN arrived < TIMESTAMP '{_STRETCH[0]}' THEN 0 WHEN arrived < TIMESTAMP '{_STRETCH[1]}' THEN 2
+        ELSE 1 END AS part FROM fetched),
+    clocks AS (SELECT part, max(max(arrived)) OVER (ORDER BY part) AS now FROM rows_ GROUP BY part),
+    told AS (
+      SELECT event_id, due, c.now, (SELECT max(now) FROM clocks p WHERE p.part < r.part) AS before,
+        (SELECT max(now) FROM clocks) AS last FROM rows_ r JOIN clocks c USING (part))
+    SELECT event_id, CASE WHEN due < before - INTERVAL {_FRAME} SECOND THEN 'late' WHEN due <= now THEN 'kept'
+      WHEN due <= last THEN 'released' ELSE 'held' END AS kind FROM told""",
+)
+def stream_held_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches in wrong order: every event is kept, late, still held, or was held and released."""
+    folder = work_dir(spark)
+    at = F.col("ts").cast("timestamp")
+    arrived = F.col("arrived")
+    rows = v.table(spark, sf, "events").select(
+        "event_id",
+        at.alias("at"),
+        (at + F.make_dt_interval(hours=(F.col("event_id") * 37 % 101 - 90).cast("int"))).alias("arrived"),
+    )
+    parts = rows.withColumn("part", F.when(arrived < v.now(_STRETCH[0]), 0).when(arrived < v.now(_STRETCH[1]), 2).otherwise(1))
+    _in_files(parts, f"{folder}/in")
+    stream = streams.read_stream(spark, f"{folder}/in", rows.schema, files_per_batch=1)
+    told = state.hold_future(stream, "event_id", "at", "arrived", _FRAME)
+    streams.write_files(told, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return state.fates(spark.read.schema(told.schema).parquet(f"{folder}/out"), ["event_id"])
+
+
+def _three_feeds(spark: SparkSession, sf: str) -> tuple[str, list[supervise.Fate]]:
+    """Each source's reviews as files of its own, one source with a damaged file, all landed as streams."""
+    folder = work_dir(spark)
+    rows = clean(v.from_documents(v.table(spark, sf, "documents")), v.SEGMENT_SYLLABLES)
+    rows = rows.select("source", "review_id")
+    schema = rows.schema
+    for source in lex.SOURCES:
+        _in_files(rows.where(F.col("source") == source).withColumn("part", F.pmod(F.xxhash64("review_id"), F.lit(3))), f"{folder}/in/{source}")
+    damaged = spark.createDataFrame([("no review",)], "value string").coalesce(1)
+    damaged.write.mode("append").text(f"{folder}/in/reddit")
+
+    def start(source: str):
+        stream = streams.read_stream(spark, f"{folder}/in/{source}", schema, files_per_batch=1)
+        return streams.write_files(stream, f"{folder}/out/{source}", f"{folder}/checkpoint/{source}")
+
+    fates = supervise.run_each(spark, {source: lambda source=source: start(source) for source in lex.SOURCES}, restarts=1)
+    return folder, fates
+
+
+@check("stream_three_feeds", f"WITH {v.CLEAN} SELECT source, review_id FROM clean WHERE source <> 'reddit'")
+def stream_three_feeds(spark: SparkSession, sf: str) -> DataFrame:
+    """What the sources landed whose streams came to their end."""
+    folder, fates = _three_feeds(spark, sf)
+    whole = [f"{folder}/out/{fate.source}" for fate in fates if fate.error is None]
+    return spark.read.schema("source string, review_id string").parquet(*whole)
+
+
+@check(
+    "stream_feed_status",
+    f"""WITH {v.CLEAN}, counted AS (SELECT source, count(*) AS landed FROM clean GROUP BY source)
+    SELECT source, source = 'reddit' AS failed, (source = 'reddit')::INT AS restarts,
+      CASE WHEN source <> 'reddit' THEN landed END AS landed FROM counted""",
+)
+def stream_feed_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each source whether it failed, how often it was started again, and what it landed."""
+    folder, fates = _three_feeds(spark, sf)
+    told = spark.createDataFrame(
+        [(f.source, f.error is not None, f.restarts) for f in fates], "source string, failed boolean, restarts int"
+    )
+    whole = [f"{folder}/out/{fate.source}" for fate in fates if fate.error is None]
+    landed = spark.read.schema("source string, review_id string").parquet(*whole)
+    return told.join(landed.groupBy("source").agg(F.count("*").alias("landed")), "source", "left")
