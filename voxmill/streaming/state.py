@@ -49,8 +49,6 @@ def cap_in_state(
     late, as everywhere in a stream.
     """
     least = _first_rows(limit, position, keys)
-    if until is not None:
-        rows = rows.withWatermark(until, delay)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: pd.DataFrame | None = None
