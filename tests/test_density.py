@@ -29,10 +29,12 @@ def blobs(seed=3):
     return np.concatenate([rng.normal(c, 0.1, (20, 3)) for c in (0, 1, 2)])
 
 
-def test_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("one_task_edges", [0, 10_000])
+def test_components_of_paths_stars_and_loops(spark, one_task_edges):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)]
     edges += [(200, 201), (201, 202), (202, 200), (202, 202)]
-    found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    found = components(spark.createDataFrame(edges, "a long, b long"), one_task_edges).collect()
+    assert components(spark.createDataFrame([], "a long, b long"), one_task_edges).collect() == []
     assert len(found) == 31 + 20 + 3
     for row in found:
         assert row.component == (0 if row.vertex < 100 else row.vertex // 100 * 100)

@@ -2,7 +2,7 @@
 
 1. Points are cut into boxes of at most ``block_rows`` points by the cuts of a
    k-d tree, which a bounded sample of the points suggests.  Each box orders
-   its points by small leaves and makes its own tree, once.
+   its points by small leaves and makes its own tree, once, by halves.
 2. The tree of all points lies within the boxes' trees and, for each two boxes,
    the edges between them of the tree of both.  Two boxes need no look at all
    if they are farther apart than the longest step on some way between them
@@ -40,6 +40,7 @@ from voxmill.session import cut_lineage, scratch, ship_with_tasks
 
 BLOCK_ROWS = 8192
 LEAF_ROWS = 64
+SMALL_ROWS = 192  # whose tree is made point by point
 MOST_BOXES = 65_536  # of one tree; with more points, boxes have more rows than ``block_rows``
 SAMPLE_ROWS = 200_000  # points that suggest cuts at once
 NEAR_BOXES = 6  # compared with each box at first
@@ -190,8 +191,10 @@ def _squares(differences: np.ndarray) -> np.ndarray:
     return total
 
 
-def _own_tree(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends (by place) and squares of the spanning tree of a box (Prim); equal lengths go by ends."""
+def _small_tree(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends (by place) and squares of the spanning tree of a few points (Prim); equal lengths go by ends."""
+    by_id = np.argsort(ids)
+    x = x[by_id]
     n = len(x)
     best = np.full(n, np.inf)
     nearest = np.zeros(n, dtype=np.int64)
@@ -208,7 +211,24 @@ def _own_tree(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         outside[current] = False
         ends.append((lo, hi))
         squares.append(float(best[current]))
-    return np.array(ends, np.int32).reshape(-1, 2), np.array(squares)
+    return by_id[np.array(ends, np.int64).reshape(-1, 2)].astype(np.int32), np.array(squares)
+
+
+def _own_tree(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of the points of a box in leaf order: the trees of two halves and the edges between them."""
+    if len(ids) <= SMALL_ROWS:
+        return _small_tree(ids, x)
+    half = _half(len(ids))
+    sides = [_Box(i, y, *_own_tree(i, y)) for i, y in ((ids[:half], x[:half]), (ids[half:], x[half:]))]
+    tree, _, _ = joined_tree(*sides)
+    return np.array([edge[3:] for edge in tree], np.int32), np.array([edge[0] for edge in tree])
+
+
+def _half(rows: int) -> int:
+    """A whole number of leaves, about half of the rows."""
+    return (rows + 2 * LEAF_ROWS - 1) // (2 * LEAF_ROWS) * LEAF_ROWS
+
+
 
 
 def _leaf_order(x: np.ndarray) -> np.ndarray:
@@ -222,27 +242,26 @@ def _leaf_order(x: np.ndarray) -> np.ndarray:
         part = order[start:end]
         values = x[part]
         axis = (values.max(axis=0) - values.min(axis=0)).argmax()
-        # A whole number of leaves on the left.
-        half = (end - start + 2 * LEAF_ROWS - 1) // (2 * LEAF_ROWS) * LEAF_ROWS
+        half = _half(end - start)
         order[start:end] = part[np.argpartition(values[:, axis], half)]
         open_.extend([(start, start + half), (start + half, end)])
     return order
 
 
 def _pack_box(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("vid", ignore_index=True)
     ids = rows["vid"].to_numpy(np.int64)
     x = np.stack(rows["x"].to_numpy()).astype(float)
-    ends, squares = _own_tree(x)
-    order = _leaf_order(x)
-    place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
+    # By id first, so that the order of the rows is of no account.
+    order = np.argsort(ids)
+    order = order[_leaf_order(x[order])]
+    ids, x = ids[order], x[order]
+    ends, squares = _own_tree(ids, x)
     told = {
         "box": rows["box"].iloc[0],
         "n": len(ids),
-        "ids": ids[order].tobytes(),
-        "xs": x[order].tobytes(),
-        "ends": place[ends].astype(np.int32).tobytes(),
+        "ids": ids.tobytes(),
+        "xs": x.tobytes(),
+        "ends": ends.tobytes(),
         "squares": squares.tobytes(),
         "low": x.min(axis=0),
         "high": x.max(axis=0),
@@ -257,13 +276,16 @@ def pack(boxed: DataFrame) -> DataFrame:
 
 
 class _Box:
-    """A packed box, unpacked."""
+    """Points in leaf order with their tree."""
 
-    def __init__(self, ids: bytes, xs: bytes, ends: bytes, squares: bytes) -> None:
-        self.ids = np.frombuffer(ids, np.int64)
-        self.x = np.frombuffer(xs).reshape(len(self.ids), -1)
-        self.ends = np.frombuffer(ends, np.int32).reshape(-1, 2)
-        self.squares = np.frombuffer(squares)
+    @classmethod
+    def unpack(cls, ids: bytes, xs: bytes, ends: bytes, squares: bytes) -> _Box:
+        names = np.frombuffer(ids, np.int64)
+        x = np.frombuffer(xs).reshape(len(names), -1)
+        return cls(names, x, np.frombuffer(ends, np.int32).reshape(-1, 2), np.frombuffer(squares))
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, ends: np.ndarray, squares: np.ndarray) -> None:
+        self.ids, self.x, self.ends, self.squares = ids, x, ends, squares
         starts = range(0, len(self.ids), LEAF_ROWS)
         self.leaves = [slice(start, start + LEAF_ROWS) for start in starts]
         self.low = np.array([self.x[leaf].min(axis=0) for leaf in self.leaves])
@@ -323,8 +345,14 @@ class _Joined:
         return True
 
 
-def edges_between(a: _Box, b: _Box) -> tuple[list[tuple[float, int, int]], int]:
-    """The edges ``(w, lo, hi)`` between two boxes in the tree of both, and how many pairs of points were compared."""
+Edge = tuple[float, int, int, int, int]
+
+
+def joined_tree(a: _Box, b: _Box) -> tuple[list[Edge], list[Edge], int]:
+    """The tree of two boxes, those of its edges that go between them, and how many pairs of points were compared.
+
+    An edge is its square, its ends by id, smaller first, and its ends by place.
+    """
     first = len(a.ids)
     ids = np.concatenate([a.ids, b.ids])
     joined = _Joined(len(ids))
@@ -352,8 +380,9 @@ def edges_between(a: _Box, b: _Box) -> tuple[list[tuple[float, int, int]], int]:
             return found[:1]
         return found
 
-    between: list[tuple[float, int, int]] = []
-    pending: list[tuple[float, int, int, int, int]] = []
+    tree: list[Edge] = []
+    between: list[Edge] = []
+    pending: list[Edge] = []
     k = compared = 0
     while joined.left > 1:
         event = own[k] if k < len(own) else None
@@ -398,11 +427,13 @@ def edges_between(a: _Box, b: _Box) -> tuple[list[tuple[float, int, int]], int]:
         if pending and event is pending[0]:
             heappop(pending)
             if joined.join(event[3], event[4]):
-                between.append(event[:3])
+                tree.append(event)
+                between.append(event)
         else:
             k += 1
-            joined.join(event[3], event[4])
-    return between, compared
+            if joined.join(event[3], event[4]):
+                tree.append(event)
+    return tree, between, compared
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,10 +442,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         compared, edges = [], []
         for row in range(batch.num_rows):
-            sides = [_Box(*(batch.column(f"{side}_{name}")[row].as_py() for name in names)) for side in "ab"]
-            found, count = edges_between(*sides)
+            sides = [_Box.unpack(*(batch.column(f"{side}_{name}")[row].as_py() for name in names)) for side in "ab"]
+            _, found, count = joined_tree(*sides)
             compared.append(count)
-            edges.append([{"w": w, "lo": lo, "hi": hi} for w, lo, hi in found])
+            edges.append([{"w": w, "lo": lo, "hi": hi} for w, lo, hi, _, _ in found])
         columns = [batch.column("a"), batch.column("b"), pa.array(compared, pa.int64()), pa.array(edges, kind)]
         yield pa.RecordBatch.from_arrays(columns, ["a", "b", "compared", "edges"])
 
