@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxmill import schemas
 from voxmill.operators import experiments, selection
-from voxmill.sources import feeds, files
+from voxmill.sources import feeds, files, runs
 
 def now():
     return F.to_timestamp(F.lit("2026-06-30 12:00:00"))
@@ -174,3 +175,33 @@ def test_reviews_round_trip(spark, tmp_path):
     assert back.count() == 3
     files.export_report(back.select("review_id"), str(tmp_path / "export"))
     assert spark.read.json(str(tmp_path / "export")).count() == 3
+
+
+def test_a_run_is_there_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path)
+    members = spark.createDataFrame([(1, "a"), (2, "b")], "id long, theme_name string")
+    report = members.groupBy("theme_name").count()
+    assert runs.manifest(spark, path).collect() == []
+    runs.publish_run(members, report, path, "20240101_080000", "Static Clusters")
+    with pytest.raises(Exception, match="no"):
+        runs.publish_run(members.selectExpr("id", "raise_error('no') AS theme_name"), report.limit(0), path, "20240101_080000", "x")
+    with pytest.raises(Exception, match="no"):
+        runs.publish_run(members.selectExpr("id", "raise_error('no') AS theme_name"), report, path, "20240102_080000", "x")
+    read = lambda: sorted((r.run_ts, r.id, r.theme_name) for r in runs.published(spark, path, "assignments", members.schema).collect())
+    assert read() == [("20240101_080000", 1, "a"), ("20240101_080000", 2, "b")]
+    assert runs.published(spark, path, "themes", report.schema).count() == 2
+    (line,) = runs.manifest(spark, path).collect()
+    assert (line.run_ts, line.run_type, str(line.run_date)) == ("20240101_080000", "Static Clusters", "2024-01-01")
+    # Published again: the new version counts, and only that is left.
+    runs.publish_run(members.where("id = 1"), report, path, "20240101_080000", "Static Clusters")
+    assert read() == [("20240101_080000", 1, "a")]
+    assert len(list((tmp_path / "themes" / "run_ts=20240101_080000").glob("version=*"))) == 1
+
+
+def test_a_batch_of_cards_is_added_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    batch = lambda *ids: spark.createDataFrame([(i, f"t{i}") for i in ids], "id string, title string")
+    for name, rows in (("a", batch("1", "2", "2")), ("b", batch("2", "3")), ("b", batch("2", "3")), ("c", batch())):
+        files.append_once(rows, path, name)
+    found = spark.read.schema("id string, title string, batch_id string").parquet(path).collect()
+    assert sorted((r.id, r.batch_id) for r in found) == [("1", "a"), ("2", "a"), ("3", "b")]

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from voxmill.operators import vectors
@@ -72,3 +73,21 @@ def test_few_rows_are_not_projected(spark):
     table = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [2.0, 2.0, 3.0])], "id long, a array<double>")
     rows = vectors.reduce_dimensions(vectors.with_vector(table, "a")).orderBy("id").collect()
     assert [r.point for r in rows] == [[1.0, 2.0, 3.0], [2.0, 2.0, 3.0]]
+
+
+def test_axes_of_sparse_and_dense_vectors_agree(spark):
+    """Rows of no, few and all entries; stored zeros; the means taken off afterwards."""
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random((80, 12)) < 0.3, rng.random((80, 12)), 0.0)
+    x[:5] = 0.0
+    x[5:10] = rng.random((5, 12)) + 0.1
+    sparse = [Vectors.sparse(12, [(i, v) for i, v in enumerate(row) if v or i == 3]) for row in x.tolist()]
+    dense = [Vectors.dense(row) for row in x.tolist()]
+    mixed = [d if k % 3 else s for k, (s, d) in enumerate(zip(sparse, dense, strict=True))]
+    _, want = np.linalg.eigh(np.cov(x.T))
+    for rows in (sparse, dense, mixed):
+        table = spark.createDataFrame([(v,) for v in rows], ["vector"]).repartition(3)
+        axes = vectors.principal_axes(table, "vector", 4)
+        assert np.allclose(np.abs((axes * want[:, ::-1][:, :4]).sum(axis=0)), 1.0)
+    assert vectors.principal_axes(table.limit(0), "vector", 4) is None
+    assert vectors.principal_axes(table.limit(2), "vector", 4) is None

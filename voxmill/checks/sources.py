@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxmill.checks import view as v
 from voxmill.checks.registry import check
 from voxmill.operators import experiments, views
+from voxmill.session import work_dir
 from voxmill.sources import feeds, files, runs
 
 
@@ -362,3 +365,42 @@ def run_members(spark: SparkSession, sf: str) -> DataFrame:
 def run_theme_rows(spark: SparkSession, sf: str) -> DataFrame:
     found = runs.theme_rows_of_runs(nested_runs(v.texts(spark, sf))).drop("position")
     return found.withColumn("run_date", F.col("run_date").cast("string"))
+
+
+@check(
+    "run_commit",
+    """SELECT '20240131_120000' AS run_ts, '2024-01-31' AS run_date, 'Static Clusters' AS run_type, event_type AS theme_name,
+      count(*) AS size, count(*) AS members FROM events GROUP BY event_type""",
+)
+def run_commit(spark: SparkSession, sf: str) -> DataFrame:
+    """A run is published; another version breaks off between the tables, and so does a new run: the first one stays."""
+    folder = work_dir(spark)
+    members = v.table(spark, sf, "events").select("event_id", F.col("event_type").alias("theme_name"))
+    report = members.groupBy("theme_name").agg(F.count("*").alias("size"))
+    runs.publish_run(members, report, folder, "20240131_120000", "Static Clusters")
+    broken = members.withColumn("theme_name", F.raise_error(F.lit("the job broke off")).cast("string"))
+    for run_ts in ("20240131_120000", "20240201_120000"):
+        try:
+            runs.publish_run(broken, report.limit(1), folder, run_ts, "Static Clusters")
+        except PySparkException as error:
+            if "the job broke off" not in str(error):
+                raise
+    read = lambda name, rows: runs.published(spark, folder, name, rows.schema)
+    counted = read("assignments", members).groupBy("run_ts", "theme_name").agg(F.count("*").alias("members"))
+    found = read("themes", report).join(counted, ["run_ts", "theme_name"])
+    return found.withColumn("run_date", F.col("run_date").cast("string"))
+
+
+@check(
+    "card_log",
+    """SELECT 'card_' || p_partkey AS id, p_name AS title FROM part""",
+)
+def card_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Cards in three batches that overlap, the second one written twice, as after a retry."""
+    folder = work_dir(spark)
+    part = F.col("p_partkey")
+    cards = v.table(spark, sf, "part").select(part, F.concat(F.lit("card_"), part).alias("id"), F.col("p_name").alias("title"))
+    batches = {"1": part % 3 == 0, "2": part % 3 != 2, "3": part % 2 == 0, "4": part >= 0}
+    for batch in ("1", "2", "2", "3", "4"):
+        files.append_once(cards.where(batches[batch]).drop("p_partkey"), folder, batch)
+    return files.read_or_empty(spark, folder, T.StructType.fromDDL("id string, title string"), "parquet")

@@ -127,3 +127,24 @@ def density_blocks(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.table(spark, sf, "events").select(event, point.alias("point"))
     count = rows.count()
     return density.cluster(rows, "event_id", 5, block_rows=count // 8 + 1, piece_rows=count // 5 + 1)
+
+
+_FIVE = ("c_custkey % 97", "3 * (c_custkey * 7 % 89)", "5 * (c_custkey * 11 % 83)", "c_custkey * 13 % 41", "2 * (c_custkey * 17 % 61)")
+
+
+@check(
+    "pca_distances",
+    f"""WITH five AS (SELECT c_custkey, {", ".join(f"({x})::DOUBLE AS x{i}" for i, x in enumerate(_FIVE))} FROM customer),
+    wide AS (SELECT c_custkey, [x0, x1, x0 + x1, x2, x3, x4, x2 - x3, 0.0] AS v FROM five),
+    pairs AS (SELECT c_custkey, v, lead(v) OVER (ORDER BY c_custkey) AS after FROM wide)
+    SELECT c_custkey, round(list_distance(v, after), 6) AS distance FROM pairs WHERE after IS NOT NULL""",
+)
+def pca_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight coordinates that lie in five dimensions: five components keep every distance."""
+    five = v.table(spark, sf, "customer").selectExpr("c_custkey", *(f"CAST({x} AS DOUBLE) AS x{i}" for i, x in enumerate(_FIVE)))
+    wide = five.selectExpr("c_custkey", "array(x0, x1, x0 + x1, x2, x3, x4, x2 - x3, 0D) AS v")
+    points = cut_lineage(vectors.reduce_dimensions(vectors.with_vector(wide, "v")).select("c_custkey", "point"))
+    after = points.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("point").alias("after"))
+    apart = F.zip_with("point", "after", lambda a, b: (a - b) * (a - b))
+    length = F.sqrt(F.aggregate(apart, F.lit(0.0), lambda total, x: total + x))
+    return points.join(after, "c_custkey").select("c_custkey", F.round(length, 6).alias("distance"))

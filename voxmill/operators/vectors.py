@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -163,21 +166,76 @@ def reduce_dimensions(
     return rows.withColumn(point, project(F.struct(parts["indices"].alias("indices"), parts["values"].alias("values"))))
 
 
+def _second_moments(width: int):
+    """Per task: for each coordinate the sums of its products with itself and later ones; -1 has the sums.
+
+    A sparse vector costs the square of its stored entries, whatever the width.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, sums, rows = np.zeros(width * width), np.zeros(width), 0
+        for batch in batches:
+            places, values = batch.column("indices"), batch.column("values")
+            rows += batch.num_rows
+            stored = values.flatten().to_numpy(zero_copy_only=False)
+            if batch.num_rows and places.null_count == batch.num_rows:  # dense vectors
+                x = stored.reshape(batch.num_rows, width)
+                total += (x.T @ x).ravel()
+                sums += x.sum(axis=0)
+                continue
+            sizes = values.value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            given = [np.arange(width) if i is None else i for i in places.to_pylist()]
+            index = np.concatenate([np.empty(0, np.int64), *given]).astype(np.int64)
+            np.add.at(sums, index, stored)
+            for size in np.unique(sizes[sizes > 0]):  # vectors of as many entries go together
+                same = (ends[sizes == size] - size)[:, None] + np.arange(size)
+                for part in np.array_split(same, max(1, same.size * int(size) // 4_000_000)):
+                    i, x = index[part], stored[part]
+                    np.add.at(total, i[:, :, None] * width + i[:, None, :], x[:, :, None] * x[:, None, :])
+        if not rows:
+            return
+        matrix = total.reshape(width, width)
+        used = np.flatnonzero(np.diag(matrix))
+        lines = [np.concatenate([[rows], sums]), *(matrix[i, i:] for i in used)]
+        numbers = pa.array([-1, *used.tolist()], pa.int32())
+        yield pa.RecordBatch.from_arrays([numbers, pa.array(lines, pa.list_(pa.float64()))], ["i", "line"])
+
+    return add
+
+
+def _added(lines: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(len(lines["line"].iloc[0]))
+    for line in lines["line"]:
+        total += line
+    return pd.DataFrame({"i": [lines["i"].iloc[0]], "line": [total]})
+
+
 def principal_axes(rows: DataFrame, vector: str, components: int) -> np.ndarray | None:
     """Axes of largest variance as columns, or None if there are fewer than two.
 
-    The tasks sum up moments and products of the (sparse) vectors; the driver
-    sees one matrix of width squared, however many rows there are.
+    One pass: the tasks add up products of the vectors' stored entries, and the
+    mean is taken off at the end.  The driver sees one matrix of width squared,
+    however many rows there are.
     """
-    summary = Summarizer.metrics("count", "variance").summary(F.col(vector))
-    count, variance = rows.agg(summary.alias("s")).select("s.count", "s.variance").first()
+    parts = F.unwrap_udt(F.col(vector))
+    sized = F.coalesce(parts["size"], F.size(parts["values"])).alias("width")
+    first = rows.where(F.col(vector).isNotNull()).select(sized).first()
+    if first is None:
+        return None
+    width = first["width"]
+    stored = rows.select(parts["indices"].alias("indices"), parts["values"].alias("values"))
+    moments = stored.mapInArrow(_second_moments(width), "i int, line array<double>")
+    lines = {r.i: np.array(r.line) for r in moments.groupBy("i").applyInPandas(_added, "i int, line array<double>").collect()}
+    count, sums = int(lines[-1][0]), lines[-1][1:]
     usable = min(components, count - 1)
     if usable < 2:
         return None
-    deviation = np.sqrt(np.maximum(variance.toArray(), 0.0))
-    correlation = Correlation.corr(rows.select(vector), vector).first()[0].toArray()
-    # A coordinate without variance has no correlation.
-    covariance = np.nan_to_num(correlation) * np.outer(deviation, deviation)
+    products = np.zeros((width, width))
+    for i, line in lines.items():
+        if i >= 0:
+            products[i, i:] = products[i:, i] = line
+    covariance = (products - np.outer(sums, sums) / count) / (count - 1)
     _, axes = np.linalg.eigh(covariance)
     return np.ascontiguousarray(axes[:, ::-1][:, :usable])
 

@@ -160,6 +160,19 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def append_once(rows: DataFrame, path: str, batch: str, key: str = "id") -> None:
+    """Append the rows of a batch whose key the log does not have yet; a batch given again adds nothing.
+
+    The log is partitioned by ``batch_id``.  A batch replaces its own rows, and
+    keys that another batch wrote, or that the batch repeats, are left out.
+    """
+    spark = rows.sparkSession
+    known = T.StructType([rows.schema[key], T.StructField("batch_id", T.StringType())])
+    others = read_or_empty(spark, path, known, "parquet").where(F.col("batch_id") != batch)
+    fresh = rows.dropDuplicates([key]).join(others.select(key), key, "left_anti")
+    write_batch(fresh.select(*rows.columns, F.lit(batch).alias("batch_id")), path)
+
+
 def write_batch(rows: DataFrame, path: str, batch: str = "batch_id") -> None:
     """Write a micro-batch so that writing it again replaces it."""
     (

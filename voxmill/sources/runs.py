@@ -2,22 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from voxmill.session import delete_folder, folder_names
 from voxmill.sources import files
 
 
+_TABLES = ("themes", "assignments")
+_MANIFEST = "run_ts string, version string, run_type string, run_date date"
+
+
 def publish_run(members: DataFrame, report: DataFrame, path: str, run_ts: str, run_type: str) -> None:
-    """Write a run's themes and assignments, partitioned by run; publishing again replaces the run.
+    """Write a run's themes and assignments; the run is there once its line in the manifest is.
 
     ``<path>/themes`` has the report rows, ``<path>/assignments`` the member
-    reviews with ``cluster_id`` and ``theme_name``.
+    reviews with ``cluster_id`` and ``theme_name``, both by run and version.
+    ``<path>/manifest`` is written last and says which version of a run counts.
+    So readers (``published``) see a run whole or not at all: a job that breaks
+    off between the tables leaves the run as it was, and publishing again
+    replaces it.  Versions that no longer count are deleted then.
     """
-    day = F.to_date(F.to_timestamp(F.lit(run_ts), F.lit(files.STAMP_FORMAT)))
-    for name, rows in (("themes", report), ("assignments", members)):
-        stamped = rows.withColumns({"run_type": F.lit(run_type), "run_date": day, "run_ts": F.lit(run_ts)})
-        files.write_batch(stamped, f"{path}/{name}", "run_ts")
+    spark = report.sparkSession
+    version = uuid.uuid4().hex
+    for name, rows in zip(_TABLES, (report, members), strict=True):
+        rows.write.parquet(f"{path}/{name}/run_ts={run_ts}/version={version}")
+    line = spark.range(1).select(
+        F.lit(version).alias("version"),
+        F.lit(run_type).alias("run_type"),
+        run_date_of(F.lit(run_ts)).alias("run_date"),
+        F.lit(run_ts).alias("run_ts"),
+    )
+    files.write_batch(line.coalesce(1), f"{path}/manifest", "run_ts")
+    for name in _TABLES:
+        for other in folder_names(spark, f"{path}/{name}/run_ts={run_ts}"):
+            if other != f"version={version}":
+                delete_folder(spark, f"{path}/{name}/run_ts={run_ts}/{other}")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The runs that are there: ``run_ts, version, run_type, run_date``."""
+    schema = T.StructType.fromDDL(_MANIFEST)
+    return files.read_or_empty(spark, f"{path}/manifest", schema, "parquet")
+
+
+def published(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:
+    """Rows of ``themes`` or ``assignments`` of the runs of the manifest, with its ``run_ts, run_type, run_date``."""
+    keys = T.StructType.fromDDL("run_ts string, version string")
+    rows = files.read_or_empty(spark, f"{path}/{name}", T.StructType([*schema.fields, *keys.fields]), "parquet")
+    # A line a run: small, so Spark broadcasts it and reads the versions that count only.
+    return rows.join(manifest(spark, path), ["run_ts", "version"]).drop("version")
 
 
 def run_date_of(filename: Column) -> Column:
