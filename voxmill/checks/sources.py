@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxmill.checks import view as v
-from voxmill.checks.registry import check
-from voxmill.operators import experiments, views
+from voxmill.checks.registry import SQL, check
+from voxmill.operators import day_shares, experiments, views
 from voxmill.session import work_dir
 from voxmill.sources import feeds, files, runs
 
@@ -404,3 +404,29 @@ def card_log(spark: SparkSession, sf: str) -> DataFrame:
     for batch in ("1", "2", "2", "3", "4"):
         files.append_once(cards.where(batches[batch]).drop("p_partkey"), folder, batch)
     return files.read_or_empty(spark, folder, T.StructType.fromDDL("id string, title string"), "parquet")
+
+
+def _kept_days(spark: SparkSession, sf: str) -> str:
+    """Two runs a day, added in three batches and the last one again, as after a retry."""
+    folder = work_dir(spark)
+    rows = v.event_themes(spark, sf).withColumn("run_ts", F.concat(F.lit("run "), F.col("cluster_id") % 2))
+    late = (F.col("run_ts") != "run 0") & (F.dayofmonth("run_date") > 15)
+    batches = (F.col("run_ts") == "run 0", (F.col("run_ts") != "run 0") & ~late, late, late)
+    for batch in batches:
+        day_shares.add_runs(rows.where(batch), folder)
+    return folder
+
+
+@check(
+    "theme_daily_share_kept",
+    f"WITH {v.EVENT_THEMES}, {SHARE_SQL} SELECT run_date::VARCHAR AS run_date, norm_name, theme_name, size, share_pct FROM share",
+)
+def theme_daily_share_kept(spark: SparkSession, sf: str) -> DataFrame:
+    found = day_shares.shares(spark, _kept_days(spark, sf), F.to_date(v.now()))
+    return found.withColumn("run_date", F.col("run_date").cast("string"))
+
+
+@check("spike_history_kept", SQL["spike_history"])
+def spike_history_kept(spark: SparkSession, sf: str) -> DataFrame:
+    found = day_shares.spikes(spark, _kept_days(spark, sf), F.to_date(v.now()), ratio=1.05)
+    return found.withColumn("run_date", F.col("run_date").cast("string"))

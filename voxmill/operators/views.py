@@ -244,8 +244,11 @@ def theme_daily_share(
     which a theme is missing gives 0.
     """
     recent = _recent(theme_rows, as_of, days)
-    daily = _daily(recent, order)
     all_days = recent.agg(F.sort_array(F.collect_set("run_date"))).scalar()
+    return _shares(_daily(recent, order), all_days)
+
+
+def _shares(daily: DataFrame, all_days: Column) -> DataFrame:
     grid = (
         daily.groupBy("norm_name")
         .agg(F.max_by("theme_name", F.struct("top_size", "run_date")).alias("series_name"))
@@ -295,12 +298,15 @@ def _day_over_day(theme_rows: DataFrame, as_of: Column, days: int, order: str) -
     """
     recent = _recent(theme_rows, as_of, days)
     run_days = recent.agg(F.sort_array(F.collect_set("run_date"))).scalar()
+    return _sides(_daily(recent, order), run_days)
+
+
+def _sides(daily: DataFrame, run_days: Column) -> DataFrame:
     share = 100.0 * F.col("size") / F.nullif(F.col("day_size"), F.lit(0))
     before = W.partitionBy("norm_name").orderBy("_place")
     last = F.lag(F.struct("_place", "latest_pct")).over(before)
     return (
-        _daily(recent, order)
-        .withColumn("_days", run_days)
+        daily.withColumn("_days", run_days)
         .withColumns({"latest_pct": share, "_place": F.array_position("_days", F.col("run_date"))})
         .withColumn("_last", last)
         .select(
