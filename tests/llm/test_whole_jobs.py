@@ -69,3 +69,19 @@ def test_near_duplicates_leave_one_table(spark):
     table = bounded_batches(spark).createDataFrame([(k, _copy({k: "x"})) for k in range(6)], "doc_id long, text string")
     assert neardup.near_duplicates(table, words=2).where("component_id = 0").count() == 6
     assert len(set(folder.glob("voxmill-*")) - before) == 1
+
+
+def test_addresses_last_dots_and_equal_entries(spark):
+    urls = [
+        (1, "http://10.2.3.4/"), (2, "http://3.4/"), (3, "http://[2001:db8::1]:80/x"), (4, "http://a.b.c./x"),
+        (5, "http://u:p@x.tie/"), (6, "http://.../"), (7, "http://10.2.3.4:8080/y"),
+    ]
+    captures = spark.createDataFrame([(*row, 5) for row in urls], "page_id long, url string, fetched int")
+    events = [("l", "3.4", "add", 3), ("l", "4", "add", 3), ("l", "b.c", "add", 3), ("l", "[2001:db8::1]", "add", 3),
+              ("spam2", "x.tie", "add", 3), ("spam", "x.tie", "add", 3), ("spammer", "x.tie", "add", 3)]
+    listed = spark.createDataFrame(events, "list string, pattern string, action string, day int")
+    found = {r.page_id: (r.host, r.list, r.pattern) for r in urllists.evaluate(captures, urllists.validity(listed)).collect()}
+    assert found == {
+        1: ("10.2.3.4", None, None), 2: ("3.4", "l", "3.4"), 3: ("[2001:db8::1]", "l", "[2001:db8::1]"),
+        4: ("a.b.c", "l", "b.c"), 5: ("x.tie", "spam", "x.tie"), 6: (None, None, None), 7: ("10.2.3.4", None, None),
+    }

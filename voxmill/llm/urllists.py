@@ -13,20 +13,26 @@ from pyspark.sql import functions as F
 
 from voxmill.llm.shared import only
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[]+)"
+ADDRESS = r"^(?:\[.*\]|[0-9]+(?:\.[0-9]+){3})$"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of a URL; null if there is none."""
-    host = F.regexp_extract(url, HOST, 1)
+    """Lower-case host of a URL without final dots; null if there is none.  An IPv6 address keeps its brackets."""
+    host = F.rtrim(F.regexp_extract(url, HOST, 1), F.lit("."))
     return F.when(host != "", F.lower(host))
 
 
+def _is_address(host: Column) -> Column:
+    return F.regexp_like(host, F.lit(ADDRESS))
+
+
 def patterns_of(host: Column) -> Column:
-    """The host and its parent domains of two labels and more (a one-label host itself)."""
+    """The host and its parent domains of two labels and more (a one-label host or an address itself)."""
     labels = F.split(host, r"\.")
     sizes = F.sequence(F.least(F.lit(2), F.size(labels)), F.size(labels))
-    return F.transform(sizes, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
+    domains = F.transform(sizes, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
+    return F.when(_is_address(host), F.array(host)).otherwise(domains)
 
 
 def validity(events: DataFrame) -> DataFrame:
@@ -60,7 +66,7 @@ def evaluate(captures: DataFrame, intervals: DataFrame) -> DataFrame:
     """One row per distinct capture ``(page_id, url, fetched)`` with the entry that decides.
 
     A capture is looked up under every suffix of its host, however many labels
-    that has, down to the top-level domain.
+    that has, down to the top-level domain; an address only as a whole.
     Of the active entries the longest pattern wins, then the latest start,
     then the smallest list name.  A capture without an active entry, without a
     fetch day or without a host has nulls and is not ``blocked``.  The lookup
@@ -74,14 +80,15 @@ def evaluate(captures: DataFrame, intervals: DataFrame) -> DataFrame:
     )
     # Top-level domains apart: they are hot keys, but a list has few of them.
     labels = F.split("host", r"\.")
-    tops = rows.where(F.size(labels) > 1).select("page_id", "url", "fetched", F.element_at(labels, -1).alias("pattern"))
+    tops = rows.where((F.size(labels) > 1) & ~_is_address(F.col("host"))).select("page_id", "url", "fetched", F.element_at(labels, -1).alias("pattern"))
     met = spread.join(intervals, "pattern").unionByName(
         tops.join(intervals.where(~F.contains("pattern", F.lit("."))), "pattern")
     ).where(active)
     rank = F.struct(
         F.length("pattern").alias("size"),
         F.col("valid_from"),
-        F.transform(F.split("list", ""), lambda c: -F.ascii(c)).alias("name"),
+        # The smallest name is the largest of these: characters turned round, and an end above them all.
+        F.concat(F.transform(F.split("list", ""), lambda c: -F.ascii(c)), F.array(F.lit(1))).alias("name"),
         F.col("list").alias("list"),
         F.col("pattern").alias("pattern"),
     )
