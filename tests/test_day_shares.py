@@ -42,4 +42,7 @@ def test_a_run_touches_its_day(spark, tmp_path):
     between = [(4, "c", 0, "Ads", 1), (4, "c", 1, "Loops", 9)]
     day_shares.add_runs(_rows(spark, between), path)
     check(first + between + [(5, "b", 1, "Loops", 2)])
+    # A day that keeps noise only.
+    day_shares.add_runs(_rows(spark, [(4, "c", -1, "noise", 3)]), path)
+    check(first + [(4, "c", -1, "noise", 3), (5, "b", 1, "Loops", 2)])
     assert day_shares.add_runs(_rows(spark, []), path) == []

@@ -5,7 +5,9 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from voxmill.plans import realtime
 from voxmill.streaming import state, streams, supervise
 
 START = datetime(2024, 1, 1)
@@ -113,3 +115,23 @@ def test_empty_sources(spark, tmp_path, pairs):
     streams.write_files(capped, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     assert spark.read.schema(schema).parquet(str(tmp_path / "out")).count() == len(pairs)
     assert supervise.run_each(spark, {}) == []
+
+
+def test_report_of_points_follows_the_batches(spark, tmp_path):
+    """Two far groups of reviews; the second batch adds to one of them and drops the rows of the first day."""
+    schema = "position long, content string, x array<double>, at timestamp"
+    day = lambda n: START + timedelta(days=n)
+    group = lambda ids, at, when, text: [(i, text, [at + i / 10, 0.0], day(when)) for i in ids]
+    _add(spark.createDataFrame(group(range(8), 0.0, 0, "ads all day") + group(range(8, 16), 900.0, 1, "it crashes"), schema), tmp_path / "in")
+    _add(spark.createDataFrame(group(range(16, 24), 900.0, 1, "a crash again"), schema), tmp_path / "in")
+    _add(spark.createDataFrame(group(range(24, 30), 500.0, 2, "shuffle loops"), schema), tmp_path / "in")
+    rows = streams.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, files_per_batch=1)
+    query = realtime.report_points_stream(
+        rows, str(tmp_path), "position", "x", "at", since=lambda batch: F.lit(day(1 if batch == 2 else 0)), min_size=4, block_rows=8
+    )
+    query.awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "reports")).where("cluster_id >= 0")
+    sizes = {}
+    for r in found.collect():
+        sizes.setdefault(r.batch_id, []).append(r["size"])
+    assert {batch: sorted(v) for batch, v in sizes.items()} == {0: [8, 8], 1: [8, 16], 2: [6, 16]}

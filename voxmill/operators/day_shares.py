@@ -70,7 +70,9 @@ def add_runs(theme_rows: DataFrame, path: str, order: str = "cluster_id") -> lis
         known = spark.read.schema(_DAY).parquet(f"{path}/days").where(F.col("run_date").isin([days[k] for k in needed]))
         sides = views._sides(known.where(F.col("norm_name").isNotNull()), F.array(*(F.lit(day) for day in days)))
         changed = sides.where(F.col("run_date").isin([days[k] for k in again])).select(*_SIDE.names)
-        files.write_batch(changed, f"{path}/alerts", "run_date")
+        # A row without a theme for each day, so that a day that lost its themes is replaced too.
+        marks = spark.createDataFrame([(None, None, None, None, days[k]) for k in again], _SIDE)
+        files.write_batch(changed.unionByName(marks), f"{path}/alerts", "run_date")
     return touched
 
 

@@ -100,6 +100,8 @@ class GrowingTree:
         many were touched, and how many pairs of points were compared.
         """
         before = max((b for b in self.batches() if b < batch), default=None)
+        # Given again, it did not happen until it is through.
+        delete_folder(self.spark, f"{self.folder}/index/batch={batch}")
         with scratch(self.spark):
             told = self._advance(before, batch, fresh, since)
         self._delete_unused(batch, before)
@@ -176,10 +178,7 @@ class GrowingTree:
         return reader.parquet(f"{self.folder}/{kind}/batch={batch}")
 
     def _commit(self, batch: int, part: str, rows: list[tuple], schema: str) -> None:
-        """One part of the index; a batch that is run again first loses its mark."""
-        if part == "cuts":
-            delete_folder(self.spark, f"{self.folder}/index/batch={batch}")
-        # A few rows per box: one file.
+        """One part of the index: a few rows per box, one file."""
         told = self.spark.createDataFrame(rows, schema).coalesce(1)
         told.write.mode("overwrite").parquet(f"{self.folder}/index/batch={batch}/{part}")
 

@@ -46,7 +46,7 @@ def cap_in_state(
     key.  With ``until``, a time at which a key's period ends (the same for all
     its rows, a key column itself or a function of one), the number is forgotten
     once the watermark has passed it; rows that come after that are dropped as
-    late, as everywhere in a stream.
+    late, as everywhere in a stream.  A period without an end is never forgotten.
     """
     least = _first_rows(limit, position, keys)
 
@@ -68,8 +68,8 @@ def cap_in_state(
             kept = both.sort_values(position, kind="stable").head(max(limit - used, 0))
         if kept is None:
             return
-        if until is not None:
-            end = int(part[until].iloc[0].tz_localize("UTC").timestamp() * 1000) if len(part) else 0
+        if until is not None and len(part) and pd.notna(part[until].iloc[0]):
+            end = int(part[until].iloc[0].tz_localize("UTC").timestamp() * 1000)
             if end > state.getCurrentWatermarkMs():
                 state.setTimeoutTimestamp(end)
         state.update((used + len(kept),))
