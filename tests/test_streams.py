@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
+
 from pyspark.sql import functions as F
 
+from voxmill.checks import streams as checks
 from voxmill.functions import dates
 from voxmill.operators import cleaning
 from voxmill.plans.realtime import report_stream
@@ -92,3 +95,22 @@ def test_report_per_batch(spark, tmp_path):
     report = spark.read.parquet(f"{out}/reports").collect()
     assert sum(r["size"] for r in report) == 6
     assert len([r for r in report if r.cluster_id != -1]) >= 2
+
+
+def test_tables_that_are_folders_are_read_by_streams(spark, tmp_path):
+    """A large table is a folder of files: its streams had no rows, and what read their output failed."""
+    documents = [(i, "web", f"Some words of text {i} which go on. And more words of it here {i}.") for i in range(6)]
+    turns = [(1, t, "user", f"the app is so slow today {t % 2}") for t in range(6)]
+    tables = {
+        "documents": spark.createDataFrame(documents, "doc_id long, source string, text string"),
+        "conversations": spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"),
+    }
+    for name, rows in tables.items():
+        rows.repartition(3).write.parquet(str(tmp_path / "folders" / f"{name}.parquet"))
+        rows.coalesce(1).write.parquet(str(tmp_path / "made" / name))
+        (part,) = (tmp_path / "made" / name).glob("part-*.parquet")
+        (tmp_path / "files").mkdir(exist_ok=True)
+        shutil.copy(part, tmp_path / "files" / f"{name}.parquet")
+    for kind in ("folders", "files"):
+        assert checks.stream_cap(spark, str(tmp_path / kind)).count() == 12
+        assert checks.stream_report(spark, str(tmp_path / kind)).agg(F.sum("size")).first()[0] == 6

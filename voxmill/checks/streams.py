@@ -13,12 +13,14 @@ from voxmill.functions import lexicons as lex
 from voxmill.operators.cleaning import clean
 from voxmill.plans.realtime import report_stream
 from voxmill.session import work_dir
+from voxmill.sources import files
 from voxmill.streaming import clusters, state, streams, supervise
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files."""
     schema = v.table(spark, sf, name).schema
-    return streams.read_stream(spark, sf, schema, pattern=f"{name}.parquet")
+    return streams.read_stream(spark, f"{sf}/{{{name}}}.parquet", schema)
 
 
 @check(
@@ -91,7 +93,7 @@ def stream_cap(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.select("source", "review_id", "feed_pos")
     write = streams.cap_per_source(f"{folder}/out", 250, "feed_pos")
     streams.write_batches(rows, write, f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("source", "review_id")
+    return files.read_or_empty(spark, f"{folder}/out", rows.select("source", "review_id").schema, "parquet")
 
 
 @check("stream_report")
