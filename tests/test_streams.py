@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import shutil
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -114,3 +115,25 @@ def test_tables_that_are_folders_are_read_by_streams(spark, tmp_path):
     for kind in ("folders", "files"):
         assert checks.stream_cap(spark, str(tmp_path / kind)).count() == 12
         assert checks.stream_report(spark, str(tmp_path / kind)).agg(F.sum("size")).first()[0] == 6
+
+
+def test_inputs_of_streams_are_written_by_all_tasks(spark, tmp_path):
+    """One task read the whole table to write a part of it as one file."""
+    documents = [(i, "web", f"Some words of text {i} which go on. And more words of it here {i}.") for i in range(60)]
+    rows = spark.createDataFrame(documents, "doc_id long, source string, text string")
+    rows.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    folder, fates = checks._three_feeds(spark, str(tmp_path))
+    assert [fate.error is None for fate in fates] == [True, True, False]
+    landed = Path(folder.removeprefix("file:")) / "in" / "app_store"
+    assert len(list(landed.glob("part-*.parquet"))) > 3
+
+    numbers = spark.range(0, 80, 1, 4).withColumn("part", F.pmod("id", F.lit(4)))
+    folder, seen = str(tmp_path / "in"), []
+
+    def start():
+        stream = streams.read_stream(spark, folder, numbers.drop("part").schema)
+        return streams.write_batches(stream, lambda batch, _: seen.append(batch.count()), str(tmp_path / "check"))
+
+    checks._step_by_step(numbers, folder, [[0, 1], [2], [3]], start)
+    assert seen == [40, 20, 20]
+    assert len(list(Path(folder).glob("part-*.parquet"))) == 12

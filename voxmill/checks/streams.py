@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from voxmill.checks import view as v
 from voxmill.checks.cleaning import MID_MONTH, joined_tags
@@ -12,7 +15,7 @@ from voxmill.functions import dates
 from voxmill.functions import lexicons as lex
 from voxmill.operators.cleaning import clean
 from voxmill.plans.realtime import report_stream
-from voxmill.session import work_dir
+from voxmill.session import cut_lineage, work_dir
 from voxmill.sources import files
 from voxmill.streaming import clusters, state, streams, supervise
 
@@ -127,10 +130,11 @@ def _stretches(events: DataFrame) -> DataFrame:
     )
 
 
-def _in_files(rows: DataFrame, folder: str, parts: int = 3) -> None:
-    """One file for each ``part``, in this order; they come one micro-batch each."""
-    for part in range(parts):
-        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
+def _step_by_step(rows: DataFrame, folder: str, steps: Sequence[Sequence[int]], start: Callable[[], StreamingQuery]) -> None:
+    """Land the rows of some parts at a time, as many files as there are tasks; each time is one micro-batch."""
+    for parts in steps:
+        rows.where(F.col("part").isin(list(parts))).drop("part").write.mode("append").parquet(folder)
+        start().awaitTermination()
 
 
 _DAY = 86_400
@@ -144,12 +148,15 @@ def _clusters(spark: SparkSession, sf: str, since) -> DataFrame:
     folder = work_dir(spark)
     points = _stretches(v.table(spark, sf, "events"))
     points = points.withColumn("at", F.timestamp_seconds(F.lit(v.EPOCH) + F.col("part") * _DAY))
-    _in_files(points, f"{folder}/in")
     schema = points.drop("part").schema
-    stream = streams.read_stream(spark, f"{folder}/in", schema, files_per_batch=1)
     rows = v.table(spark, sf, "events").count()
     write = clusters.keep_clusters(folder, 5, since, block_rows=rows // 16 + 1, piece_rows=rows)
-    streams.write_batches(stream, write, f"{folder}/checkpoint").awaitTermination()
+
+    def start() -> StreamingQuery:
+        stream = streams.read_stream(spark, f"{folder}/in", schema)
+        return streams.write_batches(stream, write, f"{folder}/checkpoint")
+
+    _step_by_step(points, f"{folder}/in", [[0], [1], [2]], start)
     found = spark.read.parquet(f"{folder}/labels")
     return found.select("batch_id", F.col("row_id").alias("event_id"), "cluster_id")
 
@@ -172,17 +179,20 @@ def stream_clusters_frame(spark: SparkSession, sf: str) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY source ORDER BY feed_pos) <= 250""",
 )
 def stream_cap_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Seven files, three a batch, with the count of each source in the stream's state."""
+    """Seven parts, three a batch, with the count of each source in the stream's state; each batch starts again from it."""
     folder = work_dir(spark)
     documents = v.table(spark, sf, "documents")
     last = documents.agg(F.max("doc_id")).scalar()
     parts = documents.withColumn("part", F.floor(F.col("doc_id") * 7 / (last + 1)).cast("int"))
-    _in_files(parts, f"{folder}/in", 7)
-    stream = streams.read_stream(spark, f"{folder}/in", documents.schema, files_per_batch=3)
-    rows = clean(v.from_documents(stream), v.SEGMENT_SYLLABLES).select("source", "review_id", "feed_pos")
-    capped = state.cap_in_state(rows, 250, "feed_pos")
-    streams.write_files(capped, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema(capped.schema).parquet(f"{folder}/out").select("source", "review_id")
+
+    def start() -> StreamingQuery:
+        stream = streams.read_stream(spark, f"{folder}/in", documents.schema)
+        rows = clean(v.from_documents(stream), v.SEGMENT_SYLLABLES).select("source", "review_id", "feed_pos")
+        capped = state.cap_in_state(rows, 250, "feed_pos")
+        return streams.write_files(capped, f"{folder}/out", f"{folder}/checkpoint")
+
+    _step_by_step(parts, f"{folder}/in", [[0, 1, 2], [3, 4, 5], [6]], start)
+    return spark.read.schema("source string, review_id string").parquet(f"{folder}/out")
 
 
 # An event is fetched between 90 hours before and 10 hours after its own time.  Of three stretches
@@ -216,26 +226,36 @@ def stream_held_rows(spark: SparkSession, sf: str) -> DataFrame:
         (at + F.make_dt_interval(hours=(F.col("event_id") * 37 % 101 - 90).cast("int"))).alias("arrived"),
     )
     parts = rows.withColumn("part", F.when(arrived < v.now(_STRETCH[0]), 0).when(arrived < v.now(_STRETCH[1]), 2).otherwise(1))
-    _in_files(parts, f"{folder}/in")
-    stream = streams.read_stream(spark, f"{folder}/in", rows.schema, files_per_batch=1)
-    told = state.hold_future(stream, "event_id", "at", "arrived", _FRAME)
-    streams.write_files(told, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return state.fates(spark.read.schema(told.schema).parquet(f"{folder}/out"), ["event_id"])
+
+    def start() -> StreamingQuery:
+        stream = streams.read_stream(spark, f"{folder}/in", rows.schema)
+        told = state.hold_future(stream, "event_id", "at", "arrived", _FRAME)
+        return streams.write_files(told, f"{folder}/out", f"{folder}/checkpoint")
+
+    _step_by_step(parts, f"{folder}/in", [[0], [1], [2]], start)
+    told = "kind string, event_id long"
+    return state.fates(spark.read.schema(told).parquet(f"{folder}/out"), ["event_id"])
 
 
 def _three_feeds(spark: SparkSession, sf: str) -> tuple[str, list[supervise.Fate]]:
     """Each source's reviews as files of its own, one source with a damaged file, all landed as streams."""
     folder = work_dir(spark)
     rows = clean(v.from_documents(v.table(spark, sf, "documents")), v.SEGMENT_SYLLABLES)
-    rows = rows.select("source", "review_id")
+    rows = cut_lineage(rows.select("source", "review_id"))
     schema = rows.schema
+    a_batch = {}  # files of each source that come together: a third
+    part = F.pmod(F.xxhash64("review_id"), F.lit(3))
     for source in lex.SOURCES:
-        _in_files(rows.where(F.col("source") == source).withColumn("part", F.pmod(F.xxhash64("review_id"), F.lit(3))), f"{folder}/in/{source}")
+        for number in range(3):
+            some = rows.where((F.col("source") == source) & (part == number))
+            some.write.mode("append").parquet(f"{folder}/in/{source}")
+        landed = spark.read.schema(schema).parquet(f"{folder}/in/{source}").inputFiles()
+        a_batch[source] = -(-len(landed) // 3)
     damaged = spark.createDataFrame([("no review",)], "value string").coalesce(1)
     damaged.write.mode("append").text(f"{folder}/in/reddit")
 
     def start(source: str):
-        stream = streams.read_stream(spark, f"{folder}/in/{source}", schema, files_per_batch=1)
+        stream = streams.read_stream(spark, f"{folder}/in/{source}", schema, files_per_batch=a_batch[source])
         return streams.write_files(stream, f"{folder}/out/{source}", f"{folder}/checkpoint/{source}")
 
     fates = supervise.run_each(spark, {source: lambda source=source: start(source) for source in lex.SOURCES}, restarts=1)
