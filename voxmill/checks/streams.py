@@ -13,7 +13,9 @@ from voxmill.checks.cleaning import MID_MONTH, joined_tags
 from voxmill.checks.registry import check
 from voxmill.functions import dates
 from voxmill.functions import lexicons as lex
+from voxmill.operators import density
 from voxmill.operators.cleaning import clean
+from voxmill.operators.spanning_tree import BLOCK_ROWS
 from voxmill.plans.realtime import report_stream
 from voxmill.session import cut_lineage, work_dir
 from voxmill.sources import files
@@ -150,7 +152,9 @@ def _clusters(spark: SparkSession, sf: str, since) -> DataFrame:
     points = points.withColumn("at", F.timestamp_seconds(F.lit(v.EPOCH) + F.col("part") * _DAY))
     schema = points.drop("part").schema
     rows = v.table(spark, sf, "events").count()
-    write = clusters.keep_clusters(folder, 5, since, block_rows=rows // 16 + 1, piece_rows=rows)
+    # Some boxes and one piece for small tables; what a task holds does not grow with large ones.
+    block_rows, piece_rows = min(rows // 16 + 1, BLOCK_ROWS), min(rows, density.PIECE_ROWS)
+    write = clusters.keep_clusters(folder, 5, since, block_rows=block_rows, piece_rows=piece_rows)
 
     def start() -> StreamingQuery:
         stream = streams.read_stream(spark, f"{folder}/in", schema)

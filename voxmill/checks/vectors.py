@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxmill.checks import view as v
 from voxmill.checks.registry import check
 from voxmill.operators import density, vectors
-from voxmill.operators.spanning_tree import spanning_tree
+from voxmill.operators.spanning_tree import BLOCK_ROWS, spanning_tree
 from voxmill.session import cut_lineage
 
 DOC_TERMS = f"""
@@ -113,7 +113,7 @@ def spanning_tree_line(spark: SparkSession, sf: str) -> DataFrame:
     place = F.floor(F.col("value") * 1000).cast("double")
     points = events.groupBy(place.alias("_x")).agg(F.min("event_id").alias("vid")).select("vid", F.array("_x").alias("x"))
     points = cut_lineage(points)
-    return spanning_tree(points, block_rows=points.count() // 8 + 1)
+    return spanning_tree(points, block_rows=min(points.count() // 8 + 1, BLOCK_ROWS))
 
 
 @check(
@@ -126,7 +126,9 @@ def density_blocks(spark: SparkSession, sf: str) -> DataFrame:
     point = F.array((event % 20 * 1_000_000 + F.floor(event / 20)).cast("double"), F.lit(0.0))
     rows = v.table(spark, sf, "events").select(event, point.alias("point"))
     count = rows.count()
-    return density.cluster(rows, "event_id", 5, block_rows=count // 8 + 1, piece_rows=count // 5 + 1)
+    # What a task holds does not grow with a large table.
+    block_rows, piece_rows = min(count // 8 + 1, BLOCK_ROWS), min(count // 5 + 1, density.PIECE_ROWS)
+    return density.cluster(rows, "event_id", 5, block_rows=block_rows, piece_rows=piece_rows)
 
 
 _FIVE = ("c_custkey % 97", "3 * (c_custkey * 7 % 89)", "5 * (c_custkey * 11 % 83)", "c_custkey * 13 % 41", "2 * (c_custkey * 17 % 61)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,16 +49,49 @@ def _with_smallest(pairs: DataFrame) -> DataFrame:
     return joined.withColumn("m", F.least("m", "u"))
 
 
-def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
+def _joined_nearby(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every vertex of a task's edges with the smallest one it reaches by them."""
+    if edges := list(batches):
+        yield _in_one_task(pd.concat(edges, ignore_index=True))
+
+
+def _by_neighbourhoods(edges: DataFrame, near: str, count: int, one_task_edges: int) -> DataFrame:
+    """Components by tasks that join edges with close values of ``near``, and links between these.
+
+    A vertex that several tasks have links what they found; where ``near`` tells
+    neighbours, these are few.
+    """
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, 4 * count // one_task_edges + 1)
+    kind = edges.schema["a"].dataType.simpleString()
+    pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), near)
+    local = pairs.repartitionByRange(tasks, near).select("u", "v")
+    local = cut_lineage(local.mapInPandas(_joined_nearby, f"vertex {kind}, component {kind}"))
+    least = cut_lineage(
+        local.groupBy("vertex").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    )
+    shared = least.where(F.col("least") < F.col("most")).select("vertex", "least")
+    links = lookup_join(local, shared, ["vertex"], how="inner").select(
+        F.col("component").alias("a"), F.col("least").alias("b")
+    )
+    linked = components(links, one_task_edges).withColumnsRenamed({"vertex": "least", "component": "_all"})
+    found = lookup_join(least.select("vertex", "least"), linked, ["least"])
+    return found.select("vertex", F.coalesce("_all", "least").alias("component"))
+
+
+def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES, near: str | None = None) -> DataFrame:
     """Rows ``(vertex, component)`` of the edges ``(a, b)``.
 
     The component is its smallest vertex.  Up to ``one_task_edges`` different
-    edges are joined in one task.  More go by rounds that alternate two steps (Kiveris,
+    edges are joined in one task.  More are first joined by tasks, each with
+    edges of close values of the column ``near`` if there is one, so that only
+    links between these are left.  What is still more goes by rounds that alternate two steps (Kiveris,
     Lattanzi, Mirrokni, Rastogi, Vassilvitskii: "Connected Components in
     MapReduce and Beyond", 2014) until the edges form one star per component:
     link the larger neighbours of each vertex to its smallest neighbour, then
     link the smaller ones.  Few rounds; the edges never grow in number.
     """
+    if near is not None and (count := edges.count()) > one_task_edges:
+        return _by_neighbourhoods(edges, near, count, one_task_edges)
     stars = cut_lineage(
         edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))

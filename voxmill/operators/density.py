@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from voxmill.operators.components import components
 from voxmill.operators.joins import lookup_join
 from voxmill.operators.selection import numbered
-from voxmill.operators.spanning_tree import BLOCK_ROWS, spanning_tree
+from voxmill.operators.spanning_tree import BLOCK_ROWS, split_into_boxes, tree_of_boxes
 from voxmill.session import cut_lineage, scratch, ship_with_tasks
 
 # Sums of stabilities depend on their order in the last digits: a cluster that reaches the sum of
@@ -29,7 +29,7 @@ from voxmill.session import cut_lineage, scratch, ship_with_tasks
 TIE = 1e-9
 
 NOISE = -1
-PIECE_ROWS = 50_000
+PIECE_ROWS = 200_000
 
 ship_with_tasks(__name__)
 
@@ -62,17 +62,20 @@ def _clustered(
     rows = cut_lineage(points.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(point).alias("x")))
     # Equal points are one point with a weight.
     distinct = cut_lineage(rows.groupBy("x").agg(F.min("row_id").alias("vid")))
-    tree = cut_lineage(spanning_tree(distinct.select("vid", "x"), block_rows))
-    named = cut_lineage(lookup_join(rows, distinct, ["x"], how="inner").select("row_id", "vid"))
+    boxed = cut_lineage(split_into_boxes(distinct.select("vid", "x"), block_rows)[0])
+    tree = cut_lineage(tree_of_boxes(boxed))
+    named = cut_lineage(lookup_join(rows, boxed, ["x"], how="inner").select("row_id", "vid", "box"))
     return _named(label(named, tree, min_size, piece_rows), row_id)
 
 
 def label(rows: DataFrame, tree: DataFrame, min_size: int = 2, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """``(row_id, cluster_id)`` of rows ``(row_id, vid)`` on the spanning tree ``(lo, hi, w)`` of their points.
 
-    Both are read several times and should be written.
+    Both are read several times and should be written.  A column ``box`` of the
+    rows, with close values for close points, keeps neighbours in one task.
     """
-    points = cut_lineage(rows.groupBy("vid").agg(F.count("*").alias("weight")))
+    near = F.min("box" if "box" in rows.columns else "vid").alias("near")
+    points = cut_lineage(rows.groupBy("vid").agg(F.count("*").alias("weight"), near))
     total = rows.count()
     if total < 2:
         return rows.select("row_id", F.lit(0).alias("cluster_id"))
@@ -130,10 +133,10 @@ def _regions(
     tree: DataFrame, distinct: DataFrame, smallest: int, piece_rows: int
 ) -> DataFrame:
     """Every point and merge with its region, and what the region gains from it."""
-    weights = distinct.select("vid", F.col("weight").cast("double").alias("weight"))
+    weights = distinct.select("vid", F.col("weight").cast("double").alias("weight"), "near")
     ends = [
-        (end, side, weights.withColumnsRenamed({"vid": end, "weight": f"w{side}"}))
-        for end, side in (("lo", "a"), ("hi", "b"))
+        ("lo", "a", weights.withColumnsRenamed({"vid": "lo", "weight": "wa"})),
+        ("hi", "b", weights.withColumnsRenamed({"vid": "hi", "weight": "wb"}).drop("near")),
     ]
     ranked = tree.orderBy("w", "lo", "hi").withColumn("rank", F.monotonically_increasing_id())
     ranked = cut_lineage(ranked)
@@ -141,7 +144,7 @@ def _regions(
         ranked = ranked.join(table, end).withColumn(side, -F.col(end) - 1)
     last, shortest, merges = ranked.agg(F.max("rank"), F.min("w"), F.count("*")).first()
     whole = F.lit(last).cast("bigint")
-    edges = ranked.select(whole.alias("piece"), "rank", "w", "a", "wa", "b", "wb")
+    edges = ranked.select(whole.alias("piece"), "rank", "w", "a", "wa", "b", "wb", "near")
     in_pieces = merges > piece_rows
     if in_pieces:
         edges = _cut_into_pieces(cut_lineage(edges), piece_rows)
@@ -149,7 +152,7 @@ def _regions(
     def hierarchy(rows: pd.DataFrame) -> pd.DataFrame:
         return _piece_hierarchy(rows, smallest, 1.0 / shortest)
 
-    parts = edges.groupBy("piece").applyInPandas(hierarchy, _HIERARCHY)
+    parts = edges.drop("near").groupBy("piece").applyInPandas(hierarchy, _HIERARCHY)
     if not in_pieces:  # the top of the only piece is the root
         return _fill_regions(parts.withColumn("top_region", whole))
     parts = cut_lineage(parts)
@@ -175,7 +178,7 @@ def _cut_into_pieces(edges: DataFrame, piece_rows: int) -> DataFrame:
         marked = cut_lineage(lookup_join(edges, large, ["piece"]))
         short = marked.where(F.col("rank") <= F.col("middle"))
         rest = marked.where(F.col("middle").isNull() | (F.col("rank") > F.col("middle")))
-        part_of = cut_lineage(components(short.select("a", "b")))
+        part_of = cut_lineage(components(short.select("a", "b", "near"), near="near"))
         named = cut_lineage(
             lookup_join(
                 short, part_of.withColumnRenamed("vertex", "a"), ["a"], how="inner"
@@ -208,7 +211,7 @@ def _cut_into_pieces(edges: DataFrame, piece_rows: int) -> DataFrame:
                     f"w{side}": F.coalesce("part_weight", f"w{side}"),
                 }
             ).drop("part", "part_weight")
-        columns = ["piece", "rank", "w", "a", "wa", "b", "wb"]
+        columns = ["piece", "rank", "w", "a", "wa", "b", "wb", "near"]
         edges = cut_lineage(inner.select(*columns).unionByName(outer.select(*columns)))
 
 

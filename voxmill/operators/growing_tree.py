@@ -73,11 +73,11 @@ class GrowingTree:
         return "row_id bigint, x array<double>, at timestamp, box bigint, batch bigint"
 
     def rows(self, batch: int) -> DataFrame:
-        """``(row_id, vid, at)`` of the rows of the state after a batch; ``vid`` is the least row of a point."""
+        """``(row_id, vid, at, box)`` of the rows of the state after a batch; ``vid`` is the least row of a point."""
         boxes = [tuple(r) for r in self._index(batch, "boxes", _BOX).select("box", "batch").collect()]
         rows = self._versions("rows", ["box"], boxes, self._rows_schema())
         points = rows.groupBy("box", "x").agg(F.min("row_id").alias("vid"))
-        return rows.join(points, ["box", "x"]).select("row_id", "vid", "at")
+        return rows.join(points, ["box", "x"]).select("row_id", "vid", "at", "box")
 
     def tree(self, batch: int) -> DataFrame:
         """``(lo, hi, w)`` of the spanning tree of the state after a batch."""

@@ -62,8 +62,12 @@ def spanning_tree(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     ``x`` are distinct points of equal width, ``vid`` distinct whole numbers.
     Equal lengths are ordered by their end points.
     """
-    with scratch(points.sparkSession) as hand_over:
-        boxed, _ = split_into_boxes(points, block_rows)
+    return tree_of_boxes(split_into_boxes(points, block_rows)[0])
+
+
+def tree_of_boxes(boxed: DataFrame) -> DataFrame:
+    """The same of points ``(vid, x, box)`` as ``split_into_boxes`` gives them."""
+    with scratch(boxed.sparkSession) as hand_over:
         packed = cut_lineage(pack(boxed))
         boxes = Boxes.of(packed)
         between = []

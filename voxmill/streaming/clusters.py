@@ -39,7 +39,7 @@ def keep_clusters(
         state = GrowingTree(spark, f"{folder}/state", block_rows)
         state.advance(batch_id, batch.select("row_id", "x", "at"), since(batch_id) if since else None)
         with scratch(spark):
-            rows = cut_lineage(state.rows(batch_id).select("row_id", "vid"))
+            rows = cut_lineage(state.rows(batch_id).select("row_id", "vid", "box"))
             labels = cut_lineage(density.label(rows, cut_lineage(state.tree(batch_id)), min_size, piece_rows))
             files.write_batch(labels.withColumn("batch_id", F.lit(batch_id)), f"{folder}/labels")
             if then is not None:
