@@ -4,14 +4,18 @@
    k-d tree, which a bounded sample of the points suggests.  Each box orders
    its points by small leaves and makes its own tree, once, by halves.
 2. The tree of all points lies within the boxes' trees and, for each two boxes,
-   the edges between them of the tree of both.  Two boxes need no look at all
-   if they are farther apart than the longest step on some way between them
-   over other boxes; first the nearest boxes are compared, which gives such
-   ways, then the few pairs that are left.
-3. Two boxes are not compared point by point.  Their edges and pairs of leaves
-   are taken by rising length; a pair of leaves that is one component by then
-   is skipped, and one of two components gives one edge.
-4. The edges that may be in the tree meet by groups of neighbouring boxes.  What
+   the edges between them of the tree of both.  Each box has one point amid most
+   others, its middle; a box whose tree falls into large parts is one box for
+   each.  Near boxes tell by how long steps one gets from middle to middle.
+3. An edge between two points is in the tree only if it is no longer than the
+   longest step on the way over both their middles.  So a point visits only
+   boxes within its longest step to its middle, or within that between the
+   middles, and meets only the points there that are as near.
+4. Two boxes of which one would visit the other with most of its points are not
+   compared point by point.  Their edges and pairs of leaves are taken by rising
+   length; a pair of leaves that is one component by then is skipped, and one of
+   two components gives one edge.
+5. The edges that may be in the tree meet by groups of neighbouring boxes.  What
    closes a circle within a group goes; what can be in no other circle is sure;
    and each way between points with edges to other groups becomes one edge for
    the next, larger groups.
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -45,12 +50,16 @@ MOST_BOXES = 65_536  # of one tree; with more points, boxes have more rows than
 SAMPLE_ROWS = 200_000  # points that suggest cuts at once
 NEAR_BOXES = 6  # compared with each box at first
 GROUP_LEVELS = 5  # boxes of 2 ** this meet in one group
+PART_LEVELS = 3  # a part of a box has more than one in 2 ** this of its points
+VISIT_BYTES = 16_000_000  # that a task hands over at once
+_POINTS = ("ids", "xs", "ends", "squares")
 _TREE = "lo bigint, hi bigint, w double"
 _PACKED = (
     "box bigint, n bigint, ids binary, xs binary, ends binary, squares binary, "
     "low array<double>, high array<double>, longest double"
 )
 _BETWEEN = "a bigint, b bigint, compared bigint, edges array<struct<w:double,lo:bigint,hi:bigint>>"
+_VISITS = "b bigint, a bigint, ids binary, xs binary, ends binary, squares binary, reach binary"
 _GRAPH = "u bigint, v bigint, w double, lo bigint, hi bigint, sure boolean, grp bigint"
 
 ship_with_tasks(__name__)
@@ -68,12 +77,17 @@ def spanning_tree(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 def tree_of_boxes(boxed: DataFrame) -> DataFrame:
     """The same of points ``(vid, x, box)`` as ``split_into_boxes`` gives them."""
     with scratch(boxed.sparkSession) as hand_over:
-        packed = cut_lineage(pack(boxed))
+        whole = cut_lineage(pack(boxed))
+        packed = cut_lineage(whole.mapInArrow(_parts, _PACKED))
         boxes = Boxes.of(packed)
         between = []
-        for pairs in boxes.rounds():
+        if len(boxes.number) > 1:
+            steps = boxes.known(steps_between(packed, boxes.first()))
+            visits = cut_lineage(visiting(packed, boxes, steps))
+            between.append(cut_lineage(visited(packed, visits, len(boxes.number))))
+            most = visits.where(F.col("ids").isNull())
+            pairs = most.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             between.append(cut_lineage(compare(packed, pairs)))
-            boxes.learn(between[-1])
         tree = hand_over(solve(packed, between, boxes.depth))
     edges = tree.count()
     if edges != max(boxes.points - 1, 0):
@@ -195,6 +209,11 @@ def _squares(differences: np.ndarray) -> np.ndarray:
     return total
 
 
+def _gaps(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> np.ndarray:
+    """Squared distances between bounds."""
+    return _squares(np.maximum(0.0, np.maximum(other_low - high, low - other_high)))
+
+
 def _small_tree(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ends (by place) and squares of the spanning tree of a few points (Prim); equal lengths go by ends."""
     by_id = np.argsort(ids)
@@ -260,8 +279,11 @@ def _pack_box(rows: pd.DataFrame) -> pd.DataFrame:
     order = order[_leaf_order(x[order])]
     ids, x = ids[order], x[order]
     ends, squares = _own_tree(ids, x)
-    told = {
-        "box": rows["box"].iloc[0],
+    return pd.DataFrame([{"box": rows["box"].iloc[0], **_told(ids, x, ends, squares)}])
+
+
+def _told(ids: np.ndarray, x: np.ndarray, ends: np.ndarray, squares: np.ndarray) -> dict[str, object]:
+    return {
         "n": len(ids),
         "ids": ids.tobytes(),
         "xs": x.tobytes(),
@@ -271,7 +293,6 @@ def _pack_box(rows: pd.DataFrame) -> pd.DataFrame:
         "high": x.max(axis=0),
         "longest": float(squares.max(initial=0.0)),
     }
-    return pd.DataFrame([told])
 
 
 def pack(boxed: DataFrame) -> DataFrame:
@@ -306,6 +327,11 @@ class _Box:
             (ways[i:j] - leaf.start, squares[i:j]) for leaf, i, j in zip(self.leaves, bounds, bounds[1:], strict=False)
         ]
 
+    @cached_property
+    def reach(self) -> np.ndarray:
+        """The longest square on each point's way to the middle."""
+        return _middles(len(self.ids), self.ends, self.squares, len(self.ids))[1]
+
     def beaten(self, leaf: int, some: np.ndarray, d2: np.ndarray) -> np.ndarray:
         """Which entries of ``d2`` (other points by ``some`` points of the leaf) another of these points beats.
 
@@ -440,13 +466,199 @@ def joined_tree(a: _Box, b: _Box) -> tuple[list[Edge], list[Edge], int]:
     return tree, between, compared
 
 
+# --- ways to the middle of a box, and what they spare -------------------------
+
+
+def _middles(count: int, ends: np.ndarray, squares: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each point's middle and the longest square on its way there over the tree.
+
+    By rising length the smaller component joins the larger one's middle; two of more than ``least``
+    points stay apart, as parts with a middle each.
+    """
+    up, level, size = list(range(count)), [0.0] * count, [1] * count
+
+    def middle(x: int) -> int:
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k in np.argsort(squares, kind="stable").tolist():
+        one, two = (middle(x) for x in ends[k].tolist())
+        if size[one] < size[two]:
+            one, two = two, one
+        if size[two] <= least:
+            up[two], level[two] = one, float(squares[k])
+            size[one] += size[two]
+    # What joins last is longest: the level of the last point before the middle.
+    last, above = np.arange(count), np.array(up, np.int64)
+    while (inner := above[above[last]] != above[last]).any():
+        last[inner] = above[last[inner]]
+    return above[last], np.array(level)[last]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed boxes; one whose tree falls into large parts becomes a box for each, without the edges between."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            box = _Box.unpack(*(row[name] for name in _POINTS))
+            middle, _ = _middles(len(box.ids), box.ends, box.squares, len(box.ids) >> PART_LEVELS)
+            names = np.unique(middle)
+            if len(names) == 1:
+                yield pa.RecordBatch.from_pylist([row], batch.schema)
+                continue
+            for part, name in enumerate(names.tolist()):
+                some = np.flatnonzero(middle == name)
+                some = some[_leaf_order(box.x[some])]
+                place = np.full(len(box.ids), -1, np.int32)
+                place[some] = np.arange(len(some))
+                inside = (middle[box.ends] == name).all(axis=1)
+                told = _told(box.ids[some], box.x[some], place[box.ends[inside]], box.squares[inside])
+                yield pa.RecordBatch.from_pylist([{"box": row["box"] << PART_LEVELS | part, **told}], batch.schema)
+
+
+def _step(a: _Box, b: _Box) -> float:
+    """The longest square on the best way from middle to middle over one edge between two boxes."""
+    low_a, low_b = (np.array([box.reach[leaf].min() for leaf in box.leaves]) for box in (a, b))
+    least = np.maximum(_gaps(a.low[:, None], a.high[:, None], b.low, b.high), np.maximum(low_a[:, None], low_b))
+    best = np.inf
+    for place in np.argsort(least, axis=None).tolist():
+        i, j = divmod(place, len(b.leaves))
+        if least[i, j] >= best:
+            break
+        d2 = _squares(a.x[a.leaves[i]][:, None] - b.x[b.leaves[j]][None])
+        best = min(best, float(np.maximum(d2, np.maximum(a.reach[a.leaves[i]][:, None], b.reach[b.leaves[j]])).min()))
+    return best
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        steps = [_step(*sides) for sides in _sides(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(steps, pa.float64())], ["a", "b", "w"])
+
+
+def visiting(packed: DataFrame, boxes: Boxes, steps: Mapping[tuple[int, int], float]) -> DataFrame:
+    """The points of each box ``a`` that may have an edge in ``b``, with the squares up to which.
+
+    Rows without points name pairs of boxes of which most points would go.  Of two boxes, the points
+    of the first go as far as from middle to middle; those of the second only as far as to their own.
+    """
+    order, jumps = _linked(len(boxes.number), sorted((w, k, l) for (k, l), w in steps.items()))
+    view = Boxes(boxes.number, boxes.low, boxes.high, boxes.longest, boxes.points, None)
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([("b", pa.int64()), ("a", pa.int64()), *((n, pa.binary()) for n in (*_POINTS, "reach"))])
+            for row in batch.to_pylist():
+                box = _Box.unpack(*(row[name] for name in _POINTS))
+                k = int(np.searchsorted(view.number, row["box"]))
+                steps = np.zeros(len(order))
+                steps[order] = _longest(jumps, at[k])
+                steps[:k] = 0.0
+                rows, size = [], 0
+                for l in np.flatnonzero(view.gaps(k) <= np.maximum(steps, box.reach.max())).tolist():
+                    reach = np.maximum(steps[l], box.reach)
+                    some = np.flatnonzero(_gaps(box.x, box.x, view.low[l], view.high[l]) <= reach)
+                    if l == k or not len(some):
+                        continue
+                    told = {"b": int(view.number[l]), "a": row["box"]}
+                    if 2 * len(some) <= len(box.ids):
+                        told |= {"ids": box.ids[some].tobytes(), "xs": box.x[some].tobytes(), "reach": reach[some].tobytes()}
+                        size += box.x[some].nbytes
+                    rows.append(told)
+                    if size > VISIT_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, size = [], 0
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return packed.mapInArrow(leave, _VISITS)
+
+
+def _first_edges(box: _Box, ids: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Of edges (square, place among the visitors, place in the box) those that close no circle with the box's tree."""
+    w, p, q = found
+    count = len(box.ids)
+    one = np.concatenate([box.ids[box.ends[:, 0]], ids[p]])
+    two = np.concatenate([box.ids[box.ends[:, 1]], box.ids[q]])
+    places = np.concatenate([box.ends, np.column_stack([p + count, q])])
+    order = np.lexsort((np.maximum(one, two), np.minimum(one, two), np.concatenate([box.squares, w])))
+    joined = _Joined(count + len(ids))
+    kept = [k for k, (x, y) in zip(order.tolist(), places[order].tolist(), strict=True) if joined.join(x, y)]
+    kept = np.array([k for k in kept if k >= len(box.ends)], np.int64) - len(box.ends)
+    return w[kept], p[kept], q[kept]
+
+
+def _met(box: _Box, ids: np.ndarray, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Edges ``(w, lo, hi)`` from visiting points to those of the box as near as they reach, and how many pairs were compared.
+
+    Some that are the longest of a circle are left out.
+    """
+    found = (np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))
+    compared, most = 0, 2 * (len(ids) + len(box.ids))
+    parts, held = [found], 0
+    for j, leaf in enumerate(box.leaves):
+        near = np.flatnonzero(_gaps(x, x, box.low[j], box.high[j]) <= reach)
+        if not len(near):
+            continue
+        d2 = _squares(x[near][:, None] - box.x[leaf][None])
+        compared += d2.size
+        met = (d2 <= reach[near][:, None]).any(axis=1)
+        near, d2 = near[met], d2[met]
+        if not len(near):
+            continue
+        keep = (d2 <= reach[near][:, None]) & ~box.beaten(j, np.arange(d2.shape[1]), d2)
+        p, q = np.nonzero(keep)
+        parts.append((d2[p, q], near[p], leaf.start + q))
+        held += len(p)
+        if held > most:
+            parts = [_first_edges(box, ids, tuple(map(np.concatenate, zip(*parts, strict=True))))]
+            held = len(parts[0][0])
+    w, p, q = map(np.concatenate, zip(*parts, strict=True))
+    return w, np.minimum(ids[p], box.ids[q]), np.maximum(ids[p], box.ids[q]), compared
+
+
+def _visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each box comes before its visitors."""
+    box = None
+    for batch in batches:
+        told = []
+        for row in range(batch.num_rows):
+            b, a, ids, xs, ends, squares, reach = (column[row].as_py() for column in batch.columns)
+            if a is None:
+                box = _Box.unpack(ids, xs, ends, squares)
+                continue
+            names = np.frombuffer(ids, np.int64)
+            w, lo, hi, compared = _met(box, names, np.frombuffer(xs).reshape(len(names), -1), np.frombuffer(reach))
+            told.append((a, b, compared, w, lo, hi))
+        if told:
+            a, b, compared, *edges = zip(*told, strict=True)
+            ends = np.cumsum([0, *map(len, edges[0])])
+            kinds = [pa.array(np.concatenate(c)) for c in edges]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(kinds, ["w", "lo", "hi"]))
+            columns = [*(pa.array(c, pa.int64()) for c in (a, b, compared)), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "compared", "edges"])
+
+
+def visited(packed: DataFrame, visits: DataFrame, boxes: int) -> DataFrame:
+    """``(a, b, compared, edges)`` of the visits that have points; a task holds one box and a batch of visits."""
+    homes = packed.select(F.col("box").alias("b"), *_POINTS)
+    rows = visits.where(F.col("ids").isNotNull()).unionByName(homes, allowMissingColumns=True)
+    tasks = max(packed.sparkSession.sparkContext.defaultParallelism * 2, boxes // 4)
+    return rows.repartition(tasks, "b").sortWithinPartitions("b", "a").mapInArrow(_visited, _BETWEEN)
+
+
+def _sides(batch: pa.RecordBatch) -> Iterator[list[_Box]]:
+    """The two boxes of each row."""
+    for row in range(batch.num_rows):
+        yield [_Box.unpack(*(batch.column(f"{side}_{name}")[row].as_py() for name in _POINTS)) for side in "ab"]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("w", pa.float64()), ("lo", pa.int64()), ("hi", pa.int64())]))
-    names = ("ids", "xs", "ends", "squares")
     for batch in batches:
         compared, edges = [], []
-        for row in range(batch.num_rows):
-            sides = [_Box.unpack(*(batch.column(f"{side}_{name}")[row].as_py() for name in names)) for side in "ab"]
+        for sides in _sides(batch):
             _, found, count = joined_tree(*sides)
             compared.append(count)
             edges.append([{"w": w, "lo": lo, "hi": hi} for w, lo, hi, _, _ in found])
@@ -456,15 +668,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def compare(packed: DataFrame, pairs: list[tuple[int, int]] | DataFrame) -> DataFrame:
     """``(a, b, compared, edges)`` of pairs of boxes ``(a, b)``; one pair holds two boxes in a task."""
+    return _both(packed, pairs).mapInArrow(_compare, _BETWEEN)
+
+
+def steps_between(packed: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """``(a, b, w)`` of pairs of boxes: the longest square on a way from middle to middle."""
+    return _both(packed, pairs).mapInArrow(_steps, "a bigint, b bigint, w double")
+
+
+def _both(packed: DataFrame, pairs: list[tuple[int, int]] | DataFrame) -> DataFrame:
     if isinstance(pairs, list):
         pairs = packed.sparkSession.createDataFrame(pairs, "a bigint, b bigint")
     both = pairs
     for side in "ab":
-        box = packed.select(F.col("box").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("ids", "xs", "ends", "squares")))
+        box = packed.select(F.col("box").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in _POINTS))
         both = lookup_join(both, box, [side], how="inner")
     # A task for every few pairs: the rows are large, and some cost far more than others.
     tasks = F.xxhash64("a", "b")
-    return both.repartition(packed.sparkSession.sparkContext.defaultParallelism * 2, tasks).mapInArrow(_compare, _BETWEEN)
+    return both.repartition(packed.sparkSession.sparkContext.defaultParallelism * 2, tasks)
 
 
 # --- which boxes to compare ---------------------------------------------------
@@ -498,7 +719,7 @@ class Boxes:
 
     def gaps(self, k: int) -> np.ndarray:
         """Squared distance of the bounds of box ``k`` from those of all boxes."""
-        return _squares(np.maximum(0.0, np.maximum(self.low - self.high[k], self.low[k] - self.high)))
+        return _gaps(self.low[k], self.high[k], self.low, self.high)
 
     def _pairs(self, choose) -> set[tuple[int, int]]:
         """Pairs ``(k, l)``, smaller place first, of the places that ``choose(k)`` gives; worked out in the tasks."""
@@ -557,11 +778,7 @@ class Boxes:
         at[order] = np.arange(len(order))
 
         def closer(boxes: Boxes, k: int) -> np.ndarray:
-            here = at[k]
-            longest = np.zeros(len(order))
-            longest[here + 1 :] = np.maximum.accumulate(jumps[here:])
-            longest[:here] = np.maximum.accumulate(jumps[:here][::-1])[::-1]
-            return order[boxes.gaps(k)[order] <= longest]
+            return order[boxes.gaps(k)[order] <= _longest(jumps, at[k])]
 
         return self._pairs(closer) - set(steps)
 
@@ -577,21 +794,31 @@ class Boxes:
         if len(self.number) < 2:
             return
         known = dict(steps or {})
-        first = (self._near() | self._ways()) - set(known)
+        first = self._firsts() - set(known)
         if first:
             yield self._numbered(first)
             known |= self._shortest
         if more := self._left(known):
             yield self._numbered(more)
 
+    def _firsts(self) -> set[tuple[int, int]]:
+        return self._near() | self._ways()
+
+    def first(self) -> list[tuple[int, int]]:
+        """Pairs of box numbers, near ones, that connect all boxes."""
+        return self._numbered(self._firsts())
+
     def _numbered(self, pairs: set[tuple[int, int]]) -> list[tuple[int, int]]:
         return [(int(self.number[k]), int(self.number[l])) for k, l in sorted(pairs)]
 
     def learn(self, between: DataFrame) -> None:
         """Take in the shortest edge of each compared pair."""
+        self._shortest = self.known(between.select("a", "b", F.array_min("edges.w").alias("w")))
+
+    def known(self, steps: DataFrame) -> dict[tuple[int, int], float]:
+        """Rows ``(a, b, w)`` by the places of the boxes."""
         place = {int(box): k for k, box in enumerate(self.number)}
-        rows = between.select("a", "b", F.array_min("edges.w").alias("w")).collect()
-        self._shortest = {(place[a], place[b]): w for a, b, w in rows}
+        return {(place[a], place[b]): w for a, b, w in steps.collect()}
 
 
 def _linked(count: int, steps: list[tuple[float, int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -622,6 +849,14 @@ def _linked(count: int, steps: list[tuple[float, int, int]]) -> tuple[np.ndarray
     return np.array(order), np.array(jumps)
 
 
+def _longest(jumps: np.ndarray, here: int) -> np.ndarray:
+    """The largest jump on the way from one place of the row to each."""
+    longest = np.zeros(len(jumps) + 1)
+    longest[here + 1 :] = np.maximum.accumulate(jumps[here:])
+    longest[:here] = np.maximum.accumulate(jumps[:here][::-1])[::-1]
+    return longest
+
+
 # --- from candidate edges to the tree -----------------------------------------
 
 
