@@ -13,6 +13,8 @@ bounded by the cluster, not by a task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -152,9 +154,17 @@ def _regions(
     def hierarchy(rows: pd.DataFrame) -> pd.DataFrame:
         return _piece_hierarchy(rows, smallest, 1.0 / shortest)
 
-    parts = edges.drop("near").groupBy("piece").applyInPandas(hierarchy, _HIERARCHY)
+    edges = edges.drop("near")
     if not in_pieces:  # the top of the only piece is the root
+        parts = edges.groupBy("piece").applyInPandas(hierarchy, _HIERARCHY)
         return _fill_regions(parts.withColumn("top_region", whole))
+
+    def hierarchies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return map(hierarchy, _whole_pieces(batches, piece_rows))
+
+    # Most pieces have a few edges: a task takes many at once, as they come one after the other.
+    tasks = max(2 * edges.sparkSession.sparkContext.defaultParallelism, -(-merges // piece_rows))
+    parts = edges.repartition(tasks, "piece").sortWithinPartitions("piece").mapInPandas(hierarchies, _HIERARCHY)
     parts = cut_lineage(parts)
     tops = _piece_regions(parts, last)
     return _fill_regions(lookup_join(parts, tops, ["piece"]))
@@ -215,14 +225,30 @@ def _cut_into_pieces(edges: DataFrame, piece_rows: int) -> DataFrame:
         edges = cut_lineage(inner.select(*columns).unionByName(outer.select(*columns)))
 
 
+def _whole_pieces(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Rows that come by piece, in frames of whole pieces: ``most`` rows, and what then is left of a piece."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if held and sum(map(len, held)) + len(batch) > most:
+            begun = int((batch["piece"] == held[-1]["piece"].iloc[-1]).sum())
+            if begun < len(batch):
+                yield pd.concat([*held, batch[:begun]])
+                held = []
+                batch = batch[begun:]
+        if len(batch):
+            held.append(batch)
+    if held:
+        yield pd.concat(held)
+
+
 def _piece_hierarchy(rows: pd.DataFrame, smallest: int, top_lambda: float) -> pd.DataFrame:
-    """Merges of one piece in order of length, then regions from the top down.
+    """Merges of whole pieces in order of length, then regions from the top down.
 
-    A null region or parent region means: that of the piece's own top, which the
+    Pieces have no point in common.  A null region or parent region means: that of the piece's own top, which the
     piece cannot know.
     """
     rows = rows.sort_values("rank", ignore_index=True)
-    piece = int(rows["piece"].iloc[0])
+    piece = rows["piece"].to_numpy()
     ends = np.concatenate([rows["a"], rows["b"]])
     sizes = np.concatenate([rows["wa"], rows["wb"]])
     ids, first, code = np.unique(ends, return_index=True, return_inverse=True)
@@ -278,7 +304,7 @@ def _piece_hierarchy(rows: pd.DataFrame, smallest: int, top_lambda: float) -> pd
 
     return pd.DataFrame(
         {
-            "piece": piece,
+            "piece": np.concatenate([np.concatenate([piece, piece])[first], piece]),
             "id": name,
             "region": known(region),
             "parent_region": known(above),
